@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid
+from . import fingerprints, jpeg, langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +17,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(jpeg.store(_table(spark, sf_dir, "documents")))
