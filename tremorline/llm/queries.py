@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module of this subpackage, function of (spark, sf_dir)).
 REGISTERED = {
+    "op3_sentencepiece": ("registered", "op3"),
     "op1_media_jpeg": ("registered", "op1"),
     "op4_language_id": ("registered", "op4"),
     "op5_multiset_fingerprint": ("registered", "op5"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jpeg, langid
+from . import fingerprints, jpeg, langid, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +21,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(_table(spark, sf_dir, "documents")))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
