@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module of this subpackage, function of (spark, sf_dir)).
 REGISTERED = {
+    "op2_mixing": ("registered", "op2"),
     "op3_sentencepiece": ("registered", "op3"),
     "op1_media_jpeg": ("registered", "op1"),
     "op4_language_id": ("registered", "op4"),
@@ -25,4 +26,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from . import mixing
+
+    return {"op2_mixing": mixing.sql()}

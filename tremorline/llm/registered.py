@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jpeg, langid, pieces
+from . import fingerprints, jpeg, langid, mixing, pieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +25,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
