@@ -38,15 +38,19 @@ END = "\r\n"
 
 
 def cuts(block: bytes, size: int) -> list[int]:
-    """Ends of segments of at most `size` bytes that split no UTF-8 character."""
+    """Ends of segments of at most `size` bytes, or one character, that split no UTF-8 character."""
     ends, at = [], 0
     while len(block) - at > size:
         end = at + size
-        while end > at + 1 and block[end] & 0xC0 == 0x80:
+        while end > at and block[end] & 0xC0 == 0x80:
             end -= 1
+        if end == at:  # one character is longer than a segment
+            end = at + size
+            while end < len(block) and block[end] & 0xC0 == 0x80:
+                end += 1
         ends.append(end)
         at = end
-    return [*ends, len(block)]
+    return [*ends, len(block)] if at < len(block) else ends
 
 
 def chunked(body: bytes, size: int = CHUNKED) -> bytes:
