@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module of this subpackage, function of (spark, sf_dir)).
 REGISTERED = {
+    "op6_simhash_vptree": ("registered", "op6"),
     "op7_warc": ("registered", "op7"),
     "op2_mixing": ("registered", "op2"),
     "op3_sentencepiece": ("registered", "op3"),
