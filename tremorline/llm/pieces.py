@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,26 +45,30 @@ def load(path: str = MODEL) -> dict:
 
 
 class Coder(dict):
-    """Encoder and decoder of one vocabulary; as a dict it holds the ids of parts encoded before."""
+    """Encoder and decoder of one vocabulary; as a dict it holds the ids of parts encoded before, as 32-bit integers."""
 
     def __init__(self, vocabulary: dict):
         import ahocorasick
 
         super().__init__()
+        self.older: dict[str, bytes] = {}  # what the table held when it was last full
         self.auto = ahocorasick.Automaton()
-        low = 0.0
+        low, pairs = 0.0, set()
         for piece, score, i in vocabulary["pieces"]:
             self.auto.add_word(piece, (len(piece), score, i))
             low = min(low, score)
+            pairs.update(map(str.__add__, piece, piece[1:]))
         self.auto.make_automaton()
-        self.unknown = low - UNKNOWN_LESS
+        self.unknown, self.pairs = low - UNKNOWN_LESS, pairs
         self.single = {p for p, _, _ in vocabulary["pieces"] if len(p) == 1}
         self.byte, self.unk = vocabulary["bytes"], vocabulary["unk"]
-        self.table = [b""] * vocabulary["size"]
+        table = [b""] * vocabulary["size"]
         for piece, _, i in vocabulary["pieces"]:
-            self.table[i] = piece.encode()
+            table[i] = piece.encode()
         for b, i in self.byte.items():
-            self.table[i] = bytes([b])
+            table[i] = bytes([b])
+        self.flat, offsets = K.pack(table)
+        self.starts, self.sizes = offsets[:-1], np.diff(offsets)
         cut = any("\n" in p for p, _, _ in vocabulary["pieces"])
         inner = any(" " in p.lstrip(" ") for p, _, _ in vocabulary["pieces"])
         self.parts = re.compile(r"(?s).+" if inner else r" *[^ ]+| +" if cut else r" *[^ \n]+| +|\n").findall
@@ -72,40 +76,57 @@ class Coder(dict):
     def best(self, part: str) -> list[int]:
         """The single-pass Viterbi over one part."""
         n = len(part)
-        score, prev, piece = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
-        odd = [i for i, c in enumerate(part) if c not in self.single] if not self.single.issuperset(part) else []
-        for end, (size, value, i) in self.auto.iter(part):
+        score, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
+        odd = [] if self.single.issuperset(part) else [i for i, c in enumerate(part) if c not in self.single]
+        for end, piece in self.auto.iter(part):
             while odd and odd[0] <= end:  # characters that are no piece, up to here
                 p = odd.pop(0)
-                score[p + 1], prev[p + 1], piece[p + 1] = score[p] + self.unknown, p, -1
-            start = end + 1 - size
-            s = score[start] + value
-            if s > score[end + 1]:
-                score[end + 1], prev[end + 1], piece[end + 1] = s, start, i
+                score[p + 1], back[p + 1] = score[p] + self.unknown, (1, 0.0, -1)
+            end += 1
+            s = score[end - piece[0]] + piece[1]
+            if s > score[end]:
+                score[end], back[end] = s, piece
         for p in odd:
-            score[p + 1], prev[p + 1], piece[p + 1] = score[p] + self.unknown, p, -1
+            score[p + 1], back[p + 1] = score[p] + self.unknown, (1, 0.0, -1)
         out, at = [], n
         while at:
-            if piece[at] >= 0:
-                out.append(piece[at])
+            size, _, i = back[at]
+            at -= size
+            if i >= 0:
+                out.append(i)
             else:
-                out += [self.byte.get(b, self.unk) for b in reversed(part[prev[at] : at].encode())] if self.byte else [self.unk]
-            at = prev[at]
-        return out[::-1]
-
-    def __missing__(self, part: str) -> list[int]:
-        if len(self) >= KEEP:
-            self.clear()
-        ids = self.best(part)
+                out += [self.byte.get(b, self.unk) for b in reversed(part[at].encode())] if self.byte else [self.unk]
+        out.reverse()
+        return out
+
+    def __missing__(self, part: str) -> bytes:
+        """Encodes a part, cut further wherever no piece holds the two characters side by side."""
+        ids = self.older.get(part)
+        if ids is not None:
+            self[part] = ids
+            return ids
+        pairs = self.pairs
+        cuts = [i for i, p in enumerate(map(str.__add__, part, part[1:]), 1) if p not in pairs]
+        if cuts:
+            ids = b"".join([self[part[i:j]] for i, j in zip([0, *cuts], [*cuts, len(part)], strict=True)])
+        else:
+            ids = array("i", self.best(part)).tobytes()
         if len(part) <= 64:
+            if len(self) >= KEEP:
+                self.older = dict(self)
+                self.clear()
             self[part] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.parts(" " + text))) if text else b""
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.parts(" " + text)))) if text else []
+        return array("i", self.packed(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")[1:]
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int64)
+        return self.flat[K.ranges(self.starts[ids], self.sizes[ids])].tobytes().decode("utf-8", "replace")[1:]
 
 
 _coders: dict[str, Coder] = {}
@@ -126,10 +147,10 @@ def _share(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((hashlib.sha1(repr(vocabulary).encode()).hexdigest(), vocabulary))
 
 
-def _lists(rows: list, nulls: list[bool]) -> pa.Array:
-    sizes = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int32)
-    values = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes[-1]))
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(values), mask=pa.array(nulls))
+def _lists(rows: list[bytes], nulls: list[bool]) -> tuple[pa.Array, np.ndarray]:
+    sizes = np.array([len(r) // 4 for r in rows], np.int64)
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)), mask=pa.array(nulls)), sizes
 
 
 def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
@@ -149,9 +170,8 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFr
             for at in range(0, batch.num_rows, 1000):  # bounds the ids held as Python lists
                 part = batch.slice(at, 1000)
                 texts = part.column(text).to_pylist()
-                rows = [coder.encode(t) if t else [] for t in texts]
-                ids = _lists(rows, [t is None for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([len(r) for r in rows], pa.int64())], names=[*arrow.names, "token_ids", "n_tokens"])
+                ids, sizes = _lists([coder.packed(t) if t else b"" for t in texts], [t is None for t in texts])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(sizes)], names=[*arrow.names, "token_ids", "n_tokens"])
 
     out = src.mapInArrow(run, spec)
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "token_ids", "n_tokens")
@@ -166,7 +186,9 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                texts = [None if ids is None else coder.decode(ids) for ids in part.column("token_ids").to_pylist()]
+                ids = part.column("token_ids")
+                flat, ends, nulls = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_null().to_pylist()
+                texts = [None if gone else coder.decode(flat[a:b]) for a, b, gone in zip(ends[:-1].tolist(), ends[1:].tolist(), nulls, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return tokens.select("doc_id", "n_tokens", "token_ids").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded string")
