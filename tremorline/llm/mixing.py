@@ -6,7 +6,7 @@ the actual shares raised to a power below one and scaled to the same total, so l
 grow. A document's probability is its cell's weight over the largest weight; so expected sampled tokens keep exactly
 the fitted marginals, with the largest sample that allows. The draw is a hash of doc_id, the same in every run.
 
-Only DataFrame functions are used. Text is scanned twice and never shuffled where the cell table is small (its rows are
+Only DataFrame functions are used. Text is never shuffled where the cell table is small (its rows are
 counted first); the marginals are partial aggregates, so a hot source costs no more than any other.
 
 Defined results: null source or language is the category `(none)`; null or empty text has 0 tokens and topic `(none)`;
@@ -15,18 +15,21 @@ cells without tokens keep weight from their other marginals; a null doc_id draws
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from . import textkit as K
 
 NONE = "(none)"
-#: Topics in order of precedence, each by a pattern over the whole text; other texts are prose.
+#: Topics in order of precedence, each with the strings any of which a text of it holds; other texts are prose.
 TOPICS = [
-    ("legal", "(?i)licen[sc]ed? under|copyright|all rights reserved"),
-    ("contact", "[A-Za-z0-9._]+@[A-Za-z0-9-]+[.][A-Za-z]+"),
-    ("table", "[|] [^|\n]+ [|]"),
-    ("code", "[{};]\n|[A-Za-z_]+ = \"|function |def |return "),
-    ("noise", "[*$%&#]{3}"),
+    ("legal", ["licensed under", "Licensed under", "Copyright", "All rights reserved"]),
+    ("contact", ["@"]),
+    ("table", [" | "]),
+    ("code", [";\n", "{\n", ' = "', "function ", "def "]),
+    ("noise", ["***", "$$$", "%%%", "###", "&&&"]),
 ]
 #: Power of the actual share that makes the target share.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.8}
@@ -38,8 +41,8 @@ SMALL = 50_000
 
 def topic(text: Column) -> Column:
     found = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(NONE))
-    for name, pattern in TOPICS:
-        found = found.when(text.rlike(pattern), F.lit(name))
+    for name, marks in TOPICS:
+        found = found.when(reduce(or_, [text.contains(m) for m in marks]), F.lit(name))
     return found.otherwise(F.lit("prose"))
 
 
@@ -85,33 +88,42 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
     return cells.select("_source", "_lang", "_topic", "n", "m")
 
 
-def probabilities(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """docs with _topic, _tokens, _weight, _probability and _sampled."""
-    rows = describe(docs)
-    cells = rake(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")), powers, rounds)
+def calibrated(rows: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+    """Cells with _weight and _probability, broadcast where their counted number allows; rows has describe()'s columns."""
+    cells = K.saved(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")), "counts")
+    cells = rake(cells, powers, rounds)
     top = cells.where("n > 0").agg(F.coalesce(F.max("m"), F.lit(1.0)).alias("top"))
     cells = cells.crossJoin(F.broadcast(top)).select("_source", "_lang", "_topic", F.col("m").alias("_weight"), F.least(F.lit(1.0), F.col("m") / F.col("top")).alias("_probability"))
-    size = cells.count()
-    out = rows.join(F.broadcast(cells) if size <= SMALL else cells, ["_source", "_lang", "_topic"])
+    return F.broadcast(cells) if cells.count() <= SMALL else cells
+
+
+def _drawn(rows: DataFrame, cells: DataFrame) -> DataFrame:
     unit = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return out.withColumn("_sampled", unit < F.col("_probability"))
+    return rows.join(cells, ["_source", "_lang", "_topic"]).withColumn("_sampled", unit < F.col("_probability"))
+
+
+def probabilities(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, _source, _lang, _topic, _tokens, _weight, _probability and _sampled; whole texts are scanned once."""
+    rows = K.saved(describe(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "_source", "_lang", "_topic", "_tokens"), "described")
+    return _drawn(rows, calibrated(rows, powers, rounds))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, topic, weight, probability and whether it is sampled, for every document."""
-    out = probabilities(docs.select("doc_id", "text", "lang", "source"))
+    out = probabilities(docs)
     return out.select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), F.round("_weight", 9).alias("weight"), F.round("_probability", 9).alias("probability"), F.col("_sampled").alias("sampled"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled documents."""
+    """The sampled documents; the second scan only finds each text's topic again."""
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    return probabilities(docs.select(*columns)).where("_sampled").select(*columns)
+    rows = describe(docs.select(*columns))
+    return _drawn(rows, calibrated(rows)).where("_sampled").select(*columns)
 
 
 def sql(table: str = "documents", powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> str:
     """The same in DuckDB SQL, with the rounds written out."""
-    cases = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TOPICS).replace("\n", "\\n")
+    cases = " ".join("WHEN " + " OR ".join(f"contains(text, '{m}')" for m in marks) + f" THEN '{n}'" for n, marks in TOPICS)
     parts = [
         f"""rows0 AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS _source, coalesce(lang, '{NONE}') AS _lang,
         CASE WHEN coalesce(length(text), 0) = 0 THEN '{NONE}' {cases} ELSE 'prose' END AS _topic,
