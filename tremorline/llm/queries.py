@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module of this subpackage, function of (spark, sf_dir)).
 REGISTERED = {
+    "op9_paragraph_minhash": ("registered", "op9"),
     "op8_suffix_radix": ("registered", "op8"),
     "op6_simhash_vptree": ("registered", "op6"),
     "op7_warc": ("registered", "op7"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jpeg, langid, mixing, pieces, simhash, substrings, warc
+from . import fingerprints, jpeg, langid, mixing, paragraphs, pieces, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +41,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.dedup(_table(spark, sf_dir, "documents"))
