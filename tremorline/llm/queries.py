@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> (module of this subpackage, function of (spark, sf_dir)).
 REGISTERED = {
+    "op10_stupid_backoff": ("registered", "op10"),
     "op9_paragraph_minhash": ("registered", "op9"),
     "op8_suffix_radix": ("registered", "op8"),
     "op6_simhash_vptree": ("registered", "op6"),
@@ -30,6 +31,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from . import mixing
+    from . import mixing, ngrams
 
-    return {"op2_mixing": mixing.sql()}
+    return {"op2_mixing": mixing.sql(), "op10_stupid_backoff": ngrams.sql()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jpeg, langid, mixing, paragraphs, pieces, simhash, substrings, warc
+from . import fingerprints, jpeg, langid, mixing, ngrams, paragraphs, pieces, simhash, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +45,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.registered(_table(spark, sf_dir, "documents"))
