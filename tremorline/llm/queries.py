@@ -26,8 +26,14 @@ def _call(module: str, name: str):
     return run
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: _call(*v) for k, v in REGISTERED.items()}
+    return {**{k: _call(*v) for k, v in REGISTERED.items()}, "pipeline": _pipeline}
 
 
 def oracle_sql() -> dict:
