@@ -30,11 +30,13 @@ def test_query(spark, sf):
     assert any(r.segments > 1 for r in got)
 
 
-def test_copies_and_odd_rows(spark):
+@pytest.mark.parametrize("small", [M.SMALL, 0])
+def test_copies_and_odd_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", small)
     big, small = "é" * 40_000 + "\r\n\r\nWARC/1.1\r\n", "x" * 999
     rows = [(1, big), (2, big), (3, big), (4, small), (5, small), (6, None), (7, ""), (8, "y" * 1000), (9, "y" * 1000), (2, big), (10, "z" * 16384 * 3)]
     pages = spark.createDataFrame([(p, f"http://a b/\r\n{p}", h) for p, h in rows], "page_id long, url string, html string")
-    pages = pages.withColumns({"digest": F.lit(1), "salt": F.lit("a"), "n": F.lit(2)})
+    pages = pages.withColumns({"digest": F.lit(1), "salt": F.lit("a"), "n": F.lit(2), "id": F.lit(3), "key": F.lit(1)})
     got = M.archived(pages).collect()
     assert sorted([tuple(r)[:5] for r in got], key=str) == expected(rows)
     none = spark.createDataFrame([(None, None, big), (None, None, None), (3, None, big)], "page_id long, url string, html string")

@@ -34,6 +34,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Copies of the table of repeated payloads, so that one very common payload is joined in so many tasks.
 SALT = 16
+#: At most so many decisions, of some 60 bytes each, are broadcast.
+SMALL = 200_000
 END = "\r\n"
 
 
@@ -130,17 +132,24 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def planned(pages: DataFrame, least: int = REVISIT) -> DataFrame:
-    """page_id, url, html, digest, refers_to (null for responses) and same_id of each page."""
+    """page_id, url, html, digest, refers_to (null for responses) and same_id of each page.
+
+    Decisions are made on ids and digests alone. Only the pages that are not plain responses are joined to the HTML:
+    broadcast where their counted number allows, so that the HTML is not shuffled at all, else by (page_id, digest).
+    """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
     lowest = F.lit(-(2**63)).cast("long")
-    repeated = rows.where(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("page_id", lowest)).alias("_to")).where("n > 1")
-    repeated = repeated.select("digest", F.col("_to"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    same = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and page_id is not null").select("page_id", F.lit(True).alias("same_id"))
-    key = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")
-    out = rows.withColumn("salt", key).join(repeated, ["digest", "salt"], "left").join(same, "page_id", "left")
-    other = F.col("_to").isNotNull() & (F.col("_to") != F.coalesce("page_id", lowest))
-    return out.select("page_id", "url", "html", "digest", F.when(other, F.col("_to")).alias("refers_to"), F.coalesce("same_id", F.lit(False)).alias("same_id"))
+    narrow = K.saved(rows.select(F.col("page_id").alias("id"), F.coalesce("page_id", lowest).alias("key"), "digest", "size"), "digests")
+    repeated = narrow.where(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("to")).where("n > 1")
+    repeated = repeated.select("digest", "to", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    same = narrow.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null").select("id", F.lit(True).alias("same_id"))
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(repeated, ["digest", "salt"], "left").join(same, "id", "left")
+    salted = salted.select("id", F.col("digest").alias("sha"), F.when(F.col("to") != F.col("key"), F.col("to")).alias("refers_to"), F.coalesce("same_id", F.lit(False)).alias("same_id"))
+    special = K.saved(salted.where("refers_to is not null or same_id").distinct(), "special")
+    special = F.broadcast(special) if special.count() <= SMALL else special
+    out = rows.join(special, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left")
+    return out.select("page_id", "url", "html", "digest", "refers_to", F.coalesce("same_id", F.lit(False)).alias("same_id"))
 
 
 def write(pages: DataFrame, path: str) -> None:
