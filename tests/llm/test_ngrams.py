@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tremorline.llm import ngrams as M
@@ -36,6 +37,12 @@ def test_against_brute_force(spark, sf, order):
         assert want == got[r.doc_id]
 
 
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
+    for k in (keys, keys[:1], keys[:0], np.array([0, 2**64 - 1], np.uint64)):
+        assert (M.unpacked(M.packed(k)) == k).all()
+
+
 def test_query_against_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

@@ -24,11 +24,20 @@ from .simhash import _LOWER
 
 ORDER, ALPHA, SEEN = 2, 0.4, 2
 #: Bytes of text in a block, about.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 #: The key under which the number of all words is counted.
 TOTAL = np.uint64(0)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte from the highest: the first bytes are mostly zero and compress."""
+    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64))
+
+
 class Words:
     """Words of a block's texts and hashes of their n-grams by first word."""
 
@@ -74,7 +83,7 @@ def _count_block(order: int, parts: int):
         block = key[0].as_py()
         return pa.table({
             "part": pa.array(part[head]), "block": pa.array(np.full(len(head), block, np.int64)),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary()),
+            "keys": pa.array([packed(keys[a:b]) for a, b in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary()),
             "counts": pa.array([counts[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary()),
         })
 
@@ -84,7 +93,7 @@ def _count_block(order: int, parts: int):
 def _sum_part(key: tuple, table: pa.Table) -> pa.Table:
     """The totals of one partition's n-grams, for each block in the order of the keys it sent."""
     raw = table.column("keys").to_pylist()
-    keys = np.frombuffer(b"".join(raw), np.uint64)
+    keys = np.concatenate([unpacked(x) for x in raw])
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
