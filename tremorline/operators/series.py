@@ -179,3 +179,9 @@ def coherence(df: DataFrame, key: list[str], order: list[str], columns: list[str
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     mean = sum((F.abs(F.corr(a, b).over(w)) for a, b in pairs), F.lit(0.0)) / len(pairs)
     return df.withColumn("coherence", F.when(F.count(F.lit(1)).over(w) == width, mean))
+
+
+def clip_saturated(column: str, low: float, high: float) -> Column:
+    """Within one per cent of either end of the range."""
+    margin = 0.01 * (high - low)
+    return F.coalesce((F.col(column) <= low + margin) | (F.col(column) >= high - margin), F.lit(False))

@@ -1,0 +1,161 @@
+"""Trackers over session tables: one small group per series, handed to the NumPy kernels by applyInPandas.
+
+A session table has a row per session, so a group is bounded by the length of one mounting, not by the samples.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from . import kernels as N
+
+TRACKED = "state string, epoch int, shift double, z double, drift_day double"
+
+
+def _schema(df: DataFrame, extra: str) -> str:
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [extra])
+
+
+def track_steps(sessions: DataFrame, key: list[str], channels: list[str], cfg: N.StepConfig = N.StepConfig(), rebaseline: bool = True, sigma: float | None = None, drift_limit: float | None = None) -> DataFrame:
+    """Sessions (hours, n, s_w and channels) with the step and drift tracker's columns."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("hours", kind="stable").reset_index(drop=True)
+        t = N.StepTracker(pdf["hours"].to_numpy(float), pdf[channels].to_numpy(float).T, pdf["n"].to_numpy(float), pdf["s_w"].to_numpy(float), cfg, sigma, drift_limit, rebaseline).run()
+        return pdf.assign(state=t.state, epoch=t.epoch.astype("int32"), shift=t.shift, z=t.z, drift_day=t.rate)
+
+    return sessions.groupBy(*key).applyInPandas(run, _schema(sessions, TRACKED))
+
+
+def detect_levels(sessions: DataFrame, key: list[str], cfg: N.LevelConfig = N.LevelConfig(), rebaseline: bool = True, before: bool = False) -> DataFrame:
+    """Sessions (hours, u, v, n) against frozen agreeing references."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("hours", kind="stable").reset_index(drop=True)
+        out = N.level_detector(*(pdf[c].to_numpy(float) for c in ("hours", "u", "v", "n")), cfg, rebaseline, before)
+        return pdf.assign(**{**out, "epoch": out["epoch"].astype("int32")})
+
+    return sessions.groupBy(*key).applyInPandas(run, _schema(sessions, "state string, epoch int, shift double, ref_u double, ref_v double"))
+
+
+ALERTS = "t double, level string, angle_deg double, handling_like boolean"
+
+
+def replay_alarms(readings: DataFrame, key: list[str], refs: dict | None = None, cfg: N.AlarmConfig = N.AlarmConfig()) -> DataFrame:
+    """Alerts of the per-reading alarm over a history (t in seconds, x, y, z), one series after the other."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", kind="stable")
+        name = tuple(pdf[k].iloc[0] for k in key)
+        found = N.replay(pdf["t"].to_numpy(float), pdf[["x", "y", "z"]].to_numpy(float), (refs or {}).get(name if len(name) > 1 else name[0]), cfg)
+        out = pd.DataFrame(found, columns=["t", "level", "angle_deg", "handling_like"])
+        for k, v in zip(key, name, strict=True):
+            out[k] = v
+        return out[[*key, "t", "level", "angle_deg", "handling_like"]]
+
+    names = ", ".join(f"`{k}` {readings.schema[k].dataType.simpleString()}" for k in key)
+    return readings.select(*key, "t", "x", "y", "z").groupBy(*key).applyInPandas(run, f"{names}, {ALERTS}")
+
+
+# The plain comparator: a median reference, a robust limit, and how soon injected steps are found.
+
+
+def comparator(vectors: np.ndarray, steps: tuple[float, ...], fixed: float = 0.5, floor: float = 0.20, k_mad: float = 5.0, ref: int = 2, persist: int = 2) -> list[dict]:
+    """Detection curve of an epoch's session directions: for each limit and step size the share of start sessions whose
+    injected rotation is found, and the median delay in sessions."""
+    centre = np.median(vectors[:ref], axis=0)
+    centre /= np.linalg.norm(centre)
+    axis = np.zeros(3)
+    axis[np.argmin(np.abs(centre))] = 1
+    u = np.cross(centre, axis)
+    u /= np.linalg.norm(u)
+
+    def angles(v: np.ndarray) -> np.ndarray:
+        return np.degrees(np.arccos(np.clip(v @ centre, -1, 1)))
+
+    def alarm(a: np.ndarray, limit: float) -> int | None:
+        over = a > limit
+        held = np.convolve(over, np.ones(persist), "valid") == persist
+        return int(np.argmax(held)) + persist - 1 if held.any() else None
+
+    rest = vectors[ref:]
+    train = max(3, len(rest) // 2)
+    quiet, test = angles(rest[:train]), rest[train:]
+    limits = {"mad": max(floor, float(np.median(quiet)) + k_mad * N.mad(quiet)), "fixed": fixed}
+    out = []
+    for method, limit in limits.items():
+        for step in steps:
+            c, s = np.cos(np.radians(step)), np.sin(np.radians(step))
+            turned = test * c + np.cross(u, test) * s + np.outer(test @ u, u) * (1 - c)
+            found = []
+            for start in range(len(test)):
+                at = alarm(angles(np.vstack([test[:start], turned[start:]])), limit)
+                found.append(at - start + 1 if at is not None and at >= start else np.nan)
+            hit = np.isfinite(found)
+            out.append({"method": method, "step_deg": step, "limit_deg": limit, "detect_rate": float(hit.mean()) if len(hit) else None, "median_delay": float(np.median(np.array(found)[hit])) if hit.any() else None})
+    return out
+
+
+def compare(sessions: DataFrame, key: list[str], steps: tuple[float, ...] = (0.15, 0.2, 0.3, 0.5, 1.0, 2.0), least: int = 8) -> DataFrame:
+    """The comparator's detection curve of each epoch with enough sessions (hours, x, y, z)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("hours", kind="stable")
+        rows = comparator(pdf[["x", "y", "z"]].to_numpy(float), steps) if len(pdf) >= least else []
+        out = pd.DataFrame(rows, columns=["method", "step_deg", "limit_deg", "detect_rate", "median_delay"])
+        for k in key:
+            out[k] = pdf[k].iloc[0]
+        return out[[*key, "method", "step_deg", "limit_deg", "detect_rate", "median_delay"]]
+
+    names = ", ".join(f"`{k}` {sessions.schema[k].dataType.simpleString()}" for k in key)
+    return sessions.groupBy(*key).applyInPandas(run, f"{names}, method string, step_deg double, limit_deg double, detect_rate double, median_delay double")
+
+
+def fault_evaluation(sessions: DataFrame, key: list[str], channels: list[str], cfg: N.StepConfig = N.StepConfig(), onsets: tuple[float, ...] = (0.5, 0.6, 0.7), steps: tuple[float, ...] = (0.10, 0.15, 0.20, 0.30, 0.50, 1.00), ramps_h: tuple[float, ...] = (24.0, 72.0)) -> DataFrame:
+    """Injected faults per series, onset and case: whether the tracker, calibrated before the onset, flags sessions that it does
+    not flag without the fault, after how many hours, and its clean flag rate. Each (series, onset, case) is its own task."""
+    spark = sessions.sparkSession
+    cases = [("clean", "clean", 0.0)] + [(f"step_{s:g}", "step", s) for s in steps] + [(f"ramp_{h:g}h", "ramp", h) for h in ramps_h] + [("stuck", "stuck", 0.0), ("noise_5", "noise", 5.0)]
+    grid = spark.createDataFrame([(float(o), n, k, float(s)) for o in onsets for n, k, s in cases], "onset double, case string, kind string, size double")
+    from pyspark.sql import functions as F
+
+    rows = sessions.crossJoin(F.broadcast(grid))  # a fixed grid of cases for every session row
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("hours", kind="stable").reset_index(drop=True)
+        onset, case, kind, size = (pdf[c].iloc[0] for c in ("onset", "case", "kind", "size"))
+        at = int(len(pdf) * onset)
+        values, hours, n, within = pdf[channels].to_numpy(float).T.copy(), pdf["hours"].to_numpy(float), pdf["n"].to_numpy(float), pdf["s_w"].to_numpy(float)
+        if at < 6 or len(pdf) - at < 3:
+            return pd.DataFrame(columns=out_columns)
+        early = N.StepTracker(hours[:at], values[:, :at], n[:at], within[:at], cfg, rebaseline=False).run()
+        rates = np.abs(early.rate[np.isfinite(early.rate)])
+        limit = max(cfg.drift_floor, float(np.quantile(rates, cfg.drift_quantile))) if len(rates) >= 10 else cfg.drift_floor
+
+        def flags(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+            t = N.StepTracker(hours, v, n, w, cfg, early.used_sigma, limit, rebaseline=False).run()
+            return np.isin(t.state.astype(str), ("EVENT", "ALARM", "DRIFT"))
+
+        clean = flags(values, within)
+        if clean[: at + 1].any():
+            return pd.DataFrame(columns=out_columns)
+        w = within.copy()
+        if kind == "step":
+            values[0, at:] += size
+        elif kind == "ramp":
+            values[0, at:] += np.minimum(1.0, (hours[at:] - hours[at]) / size)
+        elif kind == "stuck":
+            values[:, at:], w[at:] = values[:, [at]], 0.0
+        elif kind == "noise":
+            w[at:] *= size
+            values[:, at:] = np.median(values[:, :at], axis=1)[:, None] + size * (values[:, at:] - np.median(values[:, :at], axis=1)[:, None])
+        stuck = (w[at:] == 0) & (kind == "stuck")
+        new = (flags(values, w)[at:] & ~clean[at:]) | stuck
+        row = {**{k: pdf[k].iloc[0] for k in key}, "onset": onset, "case": case, "detected": bool(new.any()), "delay_h": float(hours[at:][new][0] - hours[at]) if new.any() else None, "clean_rate": float(clean[at:].mean()), "sigma": early.used_sigma}
+        return pd.DataFrame([row], columns=out_columns)
+
+    out_columns = [*key, "onset", "case", "detected", "delay_h", "clean_rate", "sigma"]
+    names = ", ".join(f"`{k}` {sessions.schema[k].dataType.simpleString()}" for k in key)
+    return rows.groupBy(*key, "onset", "case").applyInPandas(run, f"{names}, onset double, case string, detected boolean, delay_h double, clean_rate double, sigma double")
