@@ -38,8 +38,8 @@ CREATE = "CREATE TABLE IF NOT EXISTS {table} (id BIGSERIAL PRIMARY KEY, time TIM
 def dashboard(segments: DataFrame, sessions: DataFrame, events: DataFrame, key: str = "segment") -> DataFrame:
     """One JSON document per segment with its sessions and events in time order; missing ones are empty lists."""
     s = sessions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in sessions.columns if c != key]))).alias("session_rows"))
-    e = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in events.columns if c != key]))).alias("events"))
+    e = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in events.columns if c != key]))).alias("event_rows"))
     rows = segments.join(s, key, "left").join(e, key, "left")
-    for name in ("session_rows", "events"):
+    for name in ("session_rows", "event_rows"):
         rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
     return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("document"))
