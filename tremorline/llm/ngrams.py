@@ -15,6 +15,8 @@ Defined results: null or blank text has 0 words, log_score 0 and mean_log null.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -90,23 +92,36 @@ def _count_block(order: int, parts: int):
     return run
 
 
-def _sum_part(key: tuple, table: pa.Table) -> pa.Table:
+def _totals(table: pa.Table) -> pa.RecordBatch:
     """The totals of one partition's n-grams, for each block in the order of the keys it sent."""
     raw = table.column("keys").to_pylist()
     keys = np.concatenate([unpacked(x) for x in raw])
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    number = np.cumsum(np.r_[True, ordered[1:] != ordered[:-1]]) - 1 if len(keys) else order
-    totals = np.zeros(len(keys), np.int64)
-    head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(keys) else order
-    if len(keys):
-        totals[order] = np.add.reduceat(counts[order].astype(np.int64), head)[number]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    totals = np.empty(len(keys), np.int64)
+    totals[order] = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
     ends = np.r_[0, np.cumsum([len(x) // 8 for x in raw])].tolist()
-    return pa.table({
-        "block": table.column("block"), "part": table.column("part"),
-        "totals": pa.array([totals[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-    })
+    back = pa.array([totals[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([table.column("block").combine_chunks(), table.column("part").combine_chunks(), back], names=["block", "part", "totals"])
+
+
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, one part to a Spark partition: the answers to its blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("part").to_numpy()
+        edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)].tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and held[-1].column("part")[0].as_py() != part[a]:
+                yield _totals(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _totals(pa.Table.from_batches(held))
 
 
 OUT = "doc_id long, n_tokens long, log_score double, mean_log double, n_unigram long"
@@ -162,7 +177,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     blocks = max(parts, -(-size // BLOCK))
     dealt = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks))).repartition(parts, "block")
     sent = dealt.groupBy("block").applyInArrow(_count_block(order, parts), "part int, block long, keys binary, counts binary")
-    back = sent.groupBy("part").applyInArrow(_sum_part, "block long, part int, totals binary").repartition(parts, "block")
+    summed = sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_sum_parts, "block long, part int, totals binary")
+    back = summed.repartition(parts, "block")
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score_block(order, parts), OUT)
 
 

@@ -101,7 +101,7 @@ class Ranges:
         if n < width:
             return np.zeros(0, U)
         raw = (self.sums[width:] - self.sums[: n - width + 1]) * self.inverse[: n - width + 1]
-        return mix(raw + U(width) * MIX)
+        return mix(raw + U(width * int(MIX) % (1 << 64)))
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
