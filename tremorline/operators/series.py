@@ -64,7 +64,7 @@ def filled(column: str, key: list[str], order: list[str]) -> Column:
     """Nulls take the last value before them, or at the start the first after."""
     w = ordered(key, order)
     back = F.last(column, True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return F.coalesce(back, F.first(column, True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    return F.coalesce(back, F.first(column, True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
 
 
 def hampel(df: DataFrame, key: list[str], order: list[str], column: str, width: int = 7, sigmas: float = 3.0) -> DataFrame:
@@ -123,7 +123,8 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], tolerance_us: int
     b = right.select(*key, us, F.lit(None).cast(left.schema[id_col].dataType).alias(id_col), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("_side"), picked.alias("_r"))
     w = W.partitionBy(*key).orderBy(us, "_side", "_r")
     every = a.unionByName(b)
-    every = every.withColumns({"_b": F.last("_r", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_f": F.first("_r", True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    back = W.partitionBy(*key).orderBy(F.col(us).desc(), "_side", "_r")  # growing frames both ways: one pass each
+    every = every.withColumns({"_b": F.last("_r", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_f": F.last("_r", True).over(back.rowsBetween(W.unboundedPreceding, 0))})
     behind, ahead = F.col(us) - F.col("_b.at"), F.col("_f.at") - F.col(us)
     use = F.when(F.col("_b").isNull() | (ahead < behind), F.col("_f")).otherwise(F.col("_b"))
     every = every.where("_side = 1").withColumn("_use", use).withColumn("_use", F.when(F.abs(F.col("_use.at") - F.col(us)) <= tolerance_us, F.col("_use")))
@@ -136,7 +137,7 @@ def interpolated(left: DataFrame, right: DataFrame, key: list[str], value: str,
     b = right.select(*key, us, F.lit(None).cast(left.schema[id_col].dataType).alias(id_col), F.lit(0).alias("_side"), F.struct(F.col(us).alias("at"), F.col(value).cast("double").alias("v")).alias("_r"))
     w = W.partitionBy(*key).orderBy(us, "_side", "_r")
     every = a.unionByName(b)
-    back = W.partitionBy(*key).orderBy(F.col(us).desc(), F.col("_side"), F.col("_r").desc())
+    back = W.partitionBy(*key).orderBy(F.col(us).desc(), "_side", "_r")
     every = every.withColumns({"_b": F.last("_r", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_f": F.last("_r", True).over(back.rowsBetween(W.unboundedPreceding, 0))})
     span = F.col("_f.at") - F.col("_b.at")
     line = F.col("_b.v") + (F.col("_f.v") - F.col("_b.v")) * (F.col(us) - F.col("_b.at")) / span
