@@ -18,11 +18,28 @@ def ordered(key: list[str], order: list[str]):
     return W.partitionBy(*key).orderBy(*order)
 
 
-def sessionize(df: DataFrame, key: list[str], order: list[str], gap_s: float, us: str = "us", name: str = "session") -> DataFrame:
-    """Number runs of samples: a gap strictly longer than gap_s starts the next one, from 0."""
-    w = ordered(key, order)
-    starts = (F.col(us) - F.lag(us).over(w) > int(gap_s * SECOND)).cast("int")
-    return df.withColumn("_new", F.coalesce(starts, F.lit(0))).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+#: Stretch of time by which long series are dealt to tasks.
+BUCKET_S = 86_400
+
+
+def sessionize(df: DataFrame, key: list[str], order: list[str], gap_s: float, us: str = "us", name: str = "session", bucket_s: int = BUCKET_S) -> DataFrame:
+    """Number runs of samples: a gap strictly longer than gap_s starts the next one, from 0.
+
+    Rows are dealt by key and day, so a few busy nodes do not make a few endless tasks. Breaks are counted inside each day;
+    one row per day then says whether the day begins a session and how many there were before.
+    """
+    gap, part = int(gap_s * SECOND), [*key, "_bucket"]
+    w = ordered(part, order)
+    rows = df.withColumn("_bucket", F.floor(F.col(us) / F.lit(bucket_s * SECOND)).cast("long"))
+    rows = rows.withColumn("_new", F.coalesce((F.col(us) - F.lag(us).over(w) > gap).cast("long"), F.lit(0)))
+    rows = rows.withColumn("_inside", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    days = rows.groupBy(*part).agg(F.min(us).alias("_a"), F.max(us).alias("_z"), F.max("_inside").alias("_breaks"))
+    d = W.partitionBy(*key).orderBy("_bucket")
+    begins = F.coalesce((F.col("_a") - F.lag("_z").over(d) > gap).cast("long"), F.lit(0))
+    days = days.withColumn("_begins", begins + F.coalesce(F.lag("_breaks").over(d), F.lit(0)))
+    days = days.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)], F.sum("_begins").over(d.rowsBetween(W.unboundedPreceding, 0)).alias("_base"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(part)]
+    return rows.join(days, same).withColumn(name, F.col("_base") + F.col("_inside")).drop("_bucket", "_new", "_inside", "_base", *[f"_k{i}" for i in range(len(part))])
 
 
 def session_windows(df: DataFrame, key: list[str], width_s: float, us: str = "us", session: str = "session", name: str = "win") -> DataFrame:
@@ -111,38 +128,44 @@ def cusum(df: DataFrame, key: list[str], order: list[str], z: Column, slack: flo
     return df.withColumn("alarm", (F.col("pos") > limit) | (F.col("neg") < -limit)).drop("_i", "_z", "_up", "_down")
 
 
+def _around(left: DataFrame, right: DataFrame, key: list[str], reach_us: int, picked: Column, us: str, id_col: str, names: list[str]) -> DataFrame:
+    """Left rows with the right rows before (`_b`, at the same time included) and after (`_f`) them, within reach.
+
+    Both sides are dealt by key and a stretch of time many times the reach; right rows near a border go to both stretches. One
+    shuffle, no product of rows, and no task that holds a whole key. Of right rows at one time the largest wins.
+    """
+    width = F.lit(max(64 * reach_us, 600 * SECOND))
+    a = left.withColumn("_cell", F.floor(F.col(us) / width).cast("long"))
+    a = a.select(*key, "_cell", us, id_col, *names, F.lit(1).alias("_side"), F.lit(None).cast(right.select(picked.alias("x")).schema["x"].dataType).alias("_r"))
+    low, high = (F.floor((F.col(us) + d) / width).cast("long") for d in (-reach_us, reach_us))
+    b = right.withColumn("_cell", F.explode(F.sequence(low, high)))
+    b = b.select(*key, "_cell", us, F.lit(None).cast(left.schema[id_col].dataType).alias(id_col), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("_side"), picked.alias("_r"))
+    part = W.partitionBy(*key, "_cell")
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, 0)  # noqa: E731  growing frames both ways: one pass each
+    rows = a.unionByName(b).withColumns({"_b": F.last("_r", True).over(upto(part.orderBy(us, "_side", "_r"))), "_f": F.last("_r", True).over(upto(part.orderBy(F.col(us).desc(), "_side", "_r")))})
+    return rows.where("_side = 1")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: list[str], tolerance_us: int, values: list[str], us: str = "us", id_col: str = "id") -> DataFrame:
     """As-of join to the nearest right row in time, at most the tolerance away (inclusive; the earlier on a tie).
 
-    Both sides meet in one sorted window per key: a single shuffle, and no product of rows. Unmatched left rows keep
-    nulls. Of right rows at one time the last by their values wins.
+    Unmatched left rows keep nulls.
     """
     names = [c for c in left.columns if c not in key and c not in (us, id_col)]
-    picked = F.struct(F.col(us).alias("at"), *values)
-    a = left.select(*key, us, id_col, *names, F.lit(1).alias("_side"), F.lit(None).cast(right.select(picked.alias("x")).schema["x"].dataType).alias("_r"))
-    b = right.select(*key, us, F.lit(None).cast(left.schema[id_col].dataType).alias(id_col), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("_side"), picked.alias("_r"))
-    w = W.partitionBy(*key).orderBy(us, "_side", "_r")
-    every = a.unionByName(b)
-    back = W.partitionBy(*key).orderBy(F.col(us).desc(), "_side", "_r")  # growing frames both ways: one pass each
-    every = every.withColumns({"_b": F.last("_r", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_f": F.last("_r", True).over(back.rowsBetween(W.unboundedPreceding, 0))})
+    rows = _around(left, right, key, tolerance_us, F.struct(F.col(us).alias("at"), *values), us, id_col, names)
     behind, ahead = F.col(us) - F.col("_b.at"), F.col("_f.at") - F.col(us)
     use = F.when(F.col("_b").isNull() | (ahead < behind), F.col("_f")).otherwise(F.col("_b"))
-    every = every.where("_side = 1").withColumn("_use", use).withColumn("_use", F.when(F.abs(F.col("_use.at") - F.col(us)) <= tolerance_us, F.col("_use")))
-    return every.select(*key, us, id_col, *names, F.col("_use.at").alias("right_us"), *[F.col(f"_use.{v}").alias(v) for v in values])
+    rows = rows.withColumn("_use", use).withColumn("_use", F.when(F.abs(F.col("_use.at") - F.col(us)) <= tolerance_us, F.col("_use")))
+    return rows.select(*key, us, id_col, *names, F.col("_use.at").alias("right_us"), *[F.col(f"_use.{v}").alias(v) for v in values])
 
 
 def interpolated(left: DataFrame, right: DataFrame, key: list[str], value: str, hole_us: int, us: str = "us", id_col: str = "id") -> DataFrame:
     """Linear interpolation between the right rows around each left row; null outside them or over holes longer than hole_us."""
-    a = left.select(*key, us, id_col, F.lit(1).alias("_side"), F.lit(None).cast("struct<at:bigint,v:double>").alias("_r"))
-    b = right.select(*key, us, F.lit(None).cast(left.schema[id_col].dataType).alias(id_col), F.lit(0).alias("_side"), F.struct(F.col(us).alias("at"), F.col(value).cast("double").alias("v")).alias("_r"))
-    w = W.partitionBy(*key).orderBy(us, "_side", "_r")
-    every = a.unionByName(b)
-    back = W.partitionBy(*key).orderBy(F.col(us).desc(), "_side", "_r")
-    every = every.withColumns({"_b": F.last("_r", True).over(w.rowsBetween(W.unboundedPreceding, 0)), "_f": F.last("_r", True).over(back.rowsBetween(W.unboundedPreceding, 0))})
+    picked = F.struct(F.col(us).alias("at"), F.col(value).cast("double").alias("v"))
+    rows = _around(left, right, key, hole_us, picked, us, id_col, [])
     span = F.col("_f.at") - F.col("_b.at")
     line = F.col("_b.v") + (F.col("_f.v") - F.col("_b.v")) * (F.col(us) - F.col("_b.at")) / span
-    out = F.when(span == 0, F.col("_b.v")).when(span <= hole_us, line)
-    return every.where("_side = 1").select(*key, us, id_col, out.alias(value))
+    return rows.select(*key, us, id_col, F.when(span == 0, F.col("_b.v")).when(span <= hole_us, line).alias(value))
 
 
 def resampled(df: DataFrame, key: list[str], values: list[str], step_s: float, us: str = "us") -> DataFrame:
