@@ -684,6 +684,120 @@ def dashboard_nested_json(spark, sf):
     return sinks.dashboard(segments, rows.select("node", "start_us", "u", "n"), events, "node")
 
 
+# Smaller operators ---------------------------------------------------------------------------------------------------------
+
+@query("harmonic_time_features", f"WITH {EV}, h AS (SELECT event_id, us / 3600000000.0::DOUBLE AS t FROM ev) SELECT event_id, round(sin(2 * pi() * t / 24), 5) AS sin_day, round(cos(2 * pi() * t / 24), 5) AS cos_day, round(sin(2 * pi() * t / 8766), 6) AS sin_year, round(cos(2 * pi() * t / 8766), 6) AS cos_year FROM h")
+def harmonic_time_features(spark, sf):
+    t = F.col("us") / float(HOUR)
+    wave = lambda f, p: f(t * (2 * 3.141592653589793) / p)
+    return ev(spark, sf).select("event_id", F.round(wave(F.sin, 24), 5).alias("sin_day"), F.round(wave(F.cos, 24), 5).alias("cos_day"), r6(wave(F.sin, 8766), "sin_year"), r6(wave(F.cos, 8766), "cos_year"))
+
+
+@query("hours_and_log", f"WITH {EV} SELECT event_id, round(us / 3600000000.0::DOUBLE, 6) AS t_h, round(ln(value + 0.0001::DOUBLE), 6) AS log_value FROM ev")
+def hours_and_log(spark, sf):
+    return ev(spark, sf).select("event_id", r6(F.col("us") / float(HOUR), "t_h"), r6(F.log(F.col("value") + 1e-4), "log_value"))
+
+
+@query("min_data_guard", f"WITH {EV}, g AS (SELECT user_id FROM ev GROUP BY 1 HAVING count(*) >= 30) SELECT user_id, count(*) AS n, round(median(value), 6) AS mid FROM ev WHERE user_id IN (SELECT user_id FROM g) GROUP BY 1")
+def min_data_guard(spark, sf):
+    e = ev(spark, sf)
+    enough = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).where("c >= 30")
+    return e.join(enough, "user_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), r6(robust.median("value"), "mid"))
+
+
+@query("time_and_sensor_filter", f"WITH {EV} SELECT event_id, node, us FROM ev WHERE node IN ('click', 'view') AND us >= epoch_us(TIMESTAMP '2024-01-10') AND us < epoch_us(TIMESTAMP '2024-01-12')")
+def time_and_sensor_filter(spark, sf):
+    rows = table(spark, sf, "events").where("event_type in ('click', 'view') and ts >= timestamp_ntz '2024-01-10 00:00:00' and ts < timestamp_ntz '2024-01-12 00:00:00'")
+    return rows.select("event_id", F.col("event_type").alias("node"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+
+
+@query("session_state_lookup", f"""WITH {STAB}, m AS (SELECT node, session, CASE WHEN u > 60 THEN 'EVENT' WHEN u > 50 THEN 'DRIFT' END AS state FROM st WHERE n >= 2)
+SELECT event_id, coalesce(state, 'NONE') AS state, coalesce(state IN ('EVENT', 'DRIFT'), false) AS flag FROM ses LEFT JOIN m USING (node, session)""")
+def session_state_lookup(spark, sf):
+    states = stab(spark, sf).where("n >= 2").select("node", "session", F.when(F.col("u") > 60, "EVENT").when(F.col("u") > 50, "DRIFT").alias("state"))
+    rows = ses(spark, sf).join(states, ["node", "session"], "left")
+    return rows.select("event_id", F.coalesce("state", F.lit("NONE")).alias("state"), F.coalesce(F.col("state").isin("EVENT", "DRIFT"), F.lit(False)).alias("flag"))
+
+
+@query("feature_score_join", f"""WITH {WIN}, f AS (SELECT node, session, win, avg(value) AS mean FROM win GROUP BY 1, 2, 3), s AS (SELECT node, session, win, max(raw) AS score FROM win WHERE raw > 20 GROUP BY 1, 2, 3)
+SELECT node, session, win, round(mean, 6) AS mean, score FROM f LEFT JOIN s USING (node, session, win)""")
+def feature_score_join(spark, sf):
+    key = ["node", "session", "win"]
+    rows = win(spark, sf)
+    return rows.groupBy(*key).agg(r6(F.avg("value"), "mean")).join(rows.where("raw > 20").groupBy(*key).agg(F.max("raw").alias("score")), key, "left")
+
+
+@query("history_union", f"WITH {EV}, h AS (SELECT *, 0 AS batch FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT *, 1 FROM ev WHERE event_id % 2 = 1) SELECT event_id, batch, min(CASE WHEN value > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY us, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 1 AS held FROM h")
+def history_union(spark, sf):
+    e = ev(spark, sf)
+    both = e.where("event_id % 2 = 0").withColumn("batch", F.lit(0)).unionByName(e.where("event_id % 2 = 1").withColumn("batch", F.lit(1)))
+    return both.select("event_id", "batch", S.persistent(F.col("value") > 30, NODE, ORDER, 2).alias("held"))
+
+
+@query("node_baseline", f"WITH {EV} SELECT node, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM ev WHERE us < epoch_us(TIMESTAMP '2024-01-08') GROUP BY 1")
+def node_baseline(spark, sf):
+    healthy = ev(spark, sf).where(F.col("us") < 1704672000 * S.SECOND)
+    return healthy.groupBy("node").agg(r6(F.avg("value"), "mean"), r6(F.stddev_samp("value"), "std"), F.count(F.lit(1)).alias("n"))
+
+
+@query("vote_status", f"""WITH {EV}, v AS (SELECT event_id, raw, CAST(value > 100 AS INTEGER) + CAST(raw > 60 AS INTEGER) + CAST(value > 60 AND raw > 40 AS INTEGER) AS votes FROM ev)
+SELECT event_id, votes, CASE WHEN raw < 2 THEN 'SENSOR' WHEN votes >= 3 THEN 'ALARM' WHEN votes >= 2 THEN 'WARNING' WHEN votes >= 1 THEN 'WATCH' ELSE 'OK' END AS status FROM v""")
+def vote_status(spark, sf):
+    votes = (F.col("value") > 100).cast("int") + (F.col("raw") > 60).cast("int") + ((F.col("value") > 60) & (F.col("raw") > 40)).cast("int")
+    v = F.col("votes")
+    return ev(spark, sf).withColumn("votes", votes).select("event_id", "votes", X.status([("SENSOR", F.col("raw") < 2), ("ALARM", v >= 3), ("WARNING", v >= 2), ("WATCH", v >= 1)]).alias("status"))
+
+
+@query("fuse_decision", f"WITH {EV} SELECT event_id, greatest(value, raw::DOUBLE) AS strongest, round(0.5 * value + 0.5 * raw, 6) AS blended FROM ev")
+def fuse_decision(spark, sf):
+    return ev(spark, sf).select("event_id", F.greatest("value", F.col("raw").cast("double")).alias("strongest"), r6(0.5 * F.col("value") + 0.5 * F.col("raw"), "blended"))
+
+
+@query("session_thermal_features", f"""WITH {SES}, t AS (SELECT i::DOUBLE AS x, 25 + 8 * sin(i * 2 * 3.141592653589793::DOUBLE / 24) + 3 * cos(i::DOUBLE / 100) AS y FROM range(720) r(i) WHERE i < 300 OR i > 309),
+k AS (SELECT *, us / 3600000000.0::DOUBLE - 473352 AS h FROM ses), b AS (SELECT k.*, t.x AS bx, t.y AS yb FROM k ASOF LEFT JOIN t ON k.h >= t.x), a AS (SELECT b.*, t.x AS ax, t.y AS ya FROM b ASOF LEFT JOIN t ON b.h <= t.x),
+v AS (SELECT node, session, CASE WHEN ax = bx THEN yb WHEN ax - bx <= 3 THEN yb + (ya - yb) * (h - bx) / (ax - bx) END AS ta FROM a) SELECT node, session, round(avg(ta), 5) AS air FROM v GROUP BY 1, 2""")
+def session_thermal_features(spark, sf):
+    temp = _temperature(spark).select(F.lit(1).alias("all"), ((F.col("hours") + 473352) * HOUR).cast("bigint").alias("us"), F.col("value").alias("ta"))
+    rows = ses(spark, sf).withColumn("all", F.lit(1)).withColumn("id", F.struct("node", "session", "event_id"))
+    out = S.interpolated(rows.select("all", "us", "id"), temp, ["all"], "ta", 3 * HOUR)
+    return out.groupBy(F.col("id.node").alias("node"), F.col("id.session").alias("session")).agg(F.round(F.avg("ta"), 5).alias("air"))
+
+
+@query("compensate_projection", f"WITH {EV} SELECT event_id, round(value - 0.05 * (raw - 50) - 0.01 * (raw - 40), 6) AS free FROM ev")
+def compensate_projection(spark, sf):
+    adjust = 0.05 * (F.col("raw") - 50) + 0.01 * (F.col("raw") - 40)
+    return ev(spark, sf).select("event_id", r6(F.col("value") - F.coalesce(robust.finite(adjust.cast("double")), F.lit(0.0)), "free"))
+
+
+@query("local_clock", f"WITH {EV} SELECT event_id, strftime(make_timestamp(us) + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') AS when_local FROM ev")
+def local_clock(spark, sf):
+    return ev(spark, sf).select("event_id", F.date_format(F.from_utc_timestamp(F.timestamp_micros("us"), "Asia/Kolkata"), "yyyy-MM-dd HH:mm").alias("when_local"))
+
+
+@query("verdict_counts", f"WITH {EV} SELECT regexp_replace(CASE WHEN raw % 3 = 0 THEN 'NOT_TEMP (no temperature data)' WHEN raw % 3 = 1 THEN 'NOT_TEMP' ELSE 'PARTLY_TEMP' END, ' \\(.*\\)$', '') AS verdict, count(*) AS n FROM ev GROUP BY 1")
+def verdict_counts(spark, sf):
+    v = F.when(F.col("raw") % 3 == 0, "NOT_TEMP (no temperature data)").when(F.col("raw") % 3 == 1, "NOT_TEMP").otherwise("PARTLY_TEMP")
+    return ev(spark, sf).groupBy(F.regexp_replace(v, r" \(.*\)$", "").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("window_sequences", f"""WITH {WIN}, g AS (SELECT node, session, win, list(value ORDER BY us, event_id) AS v FROM win GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT node, session, win, len(v) AS n, round(v[1] - list_avg(v), 6) AS first, round(v[len(v)] - list_avg(v), 6) AS last FROM g""")
+def window_sequences(spark, sf):
+    """Each window's values as a sequence of fixed length without its mean, by linear interpolation over rank."""
+    g = win(spark, sf).groupBy("node", "session", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", "value"))), lambda r: r["value"]).alias("v")).where("size(v) >= 2")
+    size = 24
+    g = g.withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"))
+
+    def point(i):
+        at = i * (F.size("v") - 1) / float(size - 1)
+        low = F.least(F.floor(at), F.size("v") - 2).cast("int")
+        a, b = F.get(F.col("v"), low), F.get(F.col("v"), low + 1)
+        return a + (b - a) * (at - low) - F.col("mean")
+
+    g = g.withColumn("seq", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), point))
+    return g.select("node", "session", "win", F.size("v").cast("bigint").alias("n"), r6(F.get("seq", F.lit(0)), "first"), r6(F.get("seq", F.lit(size - 1)), "last"))
+
+
 from . import stateful  # noqa: E402
 
 QUERIES.update(stateful.QUERIES)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.robust import finite
+
 
 def write_parsed(df: DataFrame, path: str) -> None:
     """Parsed packets by device and day, so that time ranges and devices prune partitions."""
@@ -36,7 +38,8 @@ CREATE = "CREATE TABLE IF NOT EXISTS {table} (id BIGSERIAL PRIMARY KEY, time TIM
 
 
 def dashboard(segments: DataFrame, sessions: DataFrame, events: DataFrame, key: str = "segment") -> DataFrame:
-    """One JSON document per segment with its sessions and events in time order; missing ones are empty lists."""
+    """One JSON document per segment with its sessions and events in time order; missing ones are empty lists, NaN is null."""
+    segments, sessions, events = (d.select(*[finite(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in d.dtypes]) for d in (segments, sessions, events))
     s = sessions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in sessions.columns if c != key]))).alias("session_rows"))
     e = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in events.columns if c != key]))).alias("event_rows"))
     rows = segments.join(s, key, "left").join(e, key, "left")
