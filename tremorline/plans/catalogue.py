@@ -210,11 +210,11 @@ def session_table(spark, sf):
 
 
 @query("session_scatter", f"""WITH {WIN}, m AS (SELECT node, session, win, avg(value) AS u FROM win GROUP BY 1, 2, 3), c AS (SELECT *, median(u) OVER (PARTITION BY node, session) AS mu FROM m)
-SELECT node, session, round(1.4826::DOUBLE * median(abs(u - mu)), 6) AS s_w, count(*) AS n FROM c GROUP BY 1, 2""")
+SELECT node, session, round(1.4826::DOUBLE * median(abs(u - mu)), 8) AS s_w, count(*) AS n FROM c GROUP BY 1, 2""")
 def session_scatter(spark, sf):
     m = win(spark, sf).groupBy("node", "session", "win").agg(F.avg("value").alias("u"))
     m = m.withColumn("off", F.abs(F.col("u") - robust.median("u").over(W.partitionBy("node", "session"))))
-    return m.groupBy("node", "session").agg(r6(robust.MAD * robust.median("off"), "s_w"), F.count(F.lit(1)).alias("n"))
+    return m.groupBy("node", "session").agg(F.round(robust.MAD * robust.median("off"), 8).alias("s_w"), F.count(F.lit(1)).alias("n"))
 
 
 @query("window_features", f"""WITH {WIN}, h AS (SELECT *, (us - min(us) OVER (PARTITION BY node, session, win)) / 3600000000.0::DOUBLE AS h FROM win)
@@ -304,7 +304,7 @@ def angle_to_previous(spark, sf):
     return _units(spark, sf).select("event_id", F.round(vectors.angle_deg(vectors.triple("x", "y", "z"), tuple(F.lag(c).over(w) for c in "xyz")), 4).alias("angle"))
 
 
-@query("reference_vector", f"WITH {_VEC}, t AS (SELECT event_id, tan(radians(x * 10)) AS a, tan(radians(y * 10)) AS b FROM un) SELECT event_id, round(-b / sqrt(a * a + b * b + 1), 6) AS rx, round(a / sqrt(a * a + b * b + 1), 6) AS ry, round(1 / sqrt(a * a + b * b + 1), 6) AS rz FROM t")
+@query("reference_vector", f"WITH {_VEC}, t AS (SELECT event_id, tan(radians(x * 10)) AS a, tan(radians(y * 10)) AS b FROM un) SELECT event_id, round(-b / sqrt(a * a + b * b + 1), 6) + 0.0::DOUBLE AS rx, round(a / sqrt(a * a + b * b + 1), 6) + 0.0::DOUBLE AS ry, round(1 / sqrt(a * a + b * b + 1), 6) AS rz FROM t")
 def reference_vector(spark, sf):
     out = vectors.lean(vectors.triple(0.0, 0.0, 1.0), F.col("x") * 10, F.col("y") * 10)
     return _units(spark, sf).select("event_id", *[r6(c, n) for c, n in zip(out, ("rx", "ry", "rz"), strict=True)])
@@ -590,7 +590,7 @@ def thermal_lag(spark, sf):
     return rows.select(F.col("p.hours").alias("hours"), r6(F.col("p.value"), "air"), r6("structure"))
 
 
-@query("calibrations", f"WITH {EV} SELECT event_id, round((value - 1.5) * 0.98, 6) AS acc, round(raw - 0.25, 6) AS gyro, round((raw - 10) * 0.01 - 0.002 * (value - 25), 6) AS kg FROM ev")
+@query("calibrations", f"WITH {EV} SELECT event_id, round((value - 1.5) * 0.98, 6) AS acc, round(raw - 0.25::DOUBLE, 6) AS gyro, round((raw - 10) * 0.01 - 0.002 * (value - 25), 6) AS kg FROM ev")
 def calibrations(spark, sf):
     e = ev(spark, sf)
     return e.select("event_id", r6(X.calibrated(F.col("value"), 1.5, 0.98), "acc"), r6(X.calibrated(F.col("raw"), 0.25, 1.0), "gyro"), r6(X.load_calibrated(F.col("raw"), 10, 0.01, 0.002, F.col("value")), "kg"))
