@@ -24,7 +24,7 @@ def expected(rows):
 
 def test_query(spark, sf):
     rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
-    got = registered.op7(spark, sf).collect()
+    got = M.archived(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     assert all(r.complete for r in got)
     assert sorted([tuple(r)[:5] for r in got], key=str) == expected(rows)
     assert any(r.segments > 1 for r in got)
@@ -74,3 +74,11 @@ def test_segments_keep_characters_whole(size):
         assert 0 < end - at <= max(size, 4)
         at = end
     assert at == len(block)
+
+
+def test_query_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    assert sorted(map(str, con.execute(M.sql()).fetchall())) == sorted(str(tuple(r)) for r in registered.op7(spark, sf).collect())

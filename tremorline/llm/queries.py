@@ -37,6 +37,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from . import mixing, ngrams
+    from . import mixing, ngrams, warc
 
-    return {"op2_mixing": mixing.sql(), "op10_stupid_backoff": ngrams.sql()}
+    return {"op2_mixing": mixing.sql(), "op10_stupid_backoff": ngrams.sql(), "op7_warc": warc.sql()}

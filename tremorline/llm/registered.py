@@ -32,7 +32,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(_table(spark, sf_dir, "pages"))
+    return warc.archived(_table(spark, sf_dir, "pages")).drop("segments")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

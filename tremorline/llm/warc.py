@@ -278,3 +278,12 @@ def archived(pages: DataFrame) -> DataFrame:
     path = f"{K.checkpoint_dir(spark)}/tremorline/warc-{uuid.uuid4().hex}"
     write(pages, path)
     return read(spark, path)
+
+
+def sql(table: str = "pages") -> str:
+    """What archived() returns, but for the number of segments, in DuckDB SQL."""
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM {table}),
+    r AS (SELECT html, max(page_id) AS top FROM p WHERE n >= {REVISIT} GROUP BY 1)
+    SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN coalesce(top, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN top <> page_id THEN top END AS refers_to, true AS complete FROM p LEFT JOIN r ON p.html = r.html"""
