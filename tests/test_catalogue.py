@@ -48,3 +48,8 @@ def test_against_duckdb(name, spark, sf, con):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(name, spark, sf):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+def test_stream_of_events_equals_replay(spark, sf):
+    one, two = (sorted(tuple(r) for r in catalogue.QUERIES[n](spark, sf).select("node", "t", "level", "angle_deg", "handling_like").collect()) for n in ("fast_alarm_stream", "fast_alarm_replay"))
+    assert one == two and one

@@ -68,6 +68,24 @@ def fast_alarm_replay(spark, sf):
     return trackers.replay_alarms(readings(spark, sf), NODE, REFS, ALARM)
 
 
+def fast_alarm_stream(spark, sf):
+    """The same alerts from a stream over the events, drained, published by batch and read back."""
+    import tempfile
+    import uuid
+
+    from ..streaming import alarms
+
+    c = _cat()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tremorline-')}"
+    path = f"{shared}/tremorline/alarms-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(F.col("event_type").alias("node"), (us / float(S.SECOND)).alias("t"), (F.col("value") - 50).alias("x"), (F.get_json_object("props", "$.k").cast("int") - 50.0).alias("y"), F.lit(300.0).alias("z"))
+    alarms.publish(alarms.fast_alarms(rows, REFS, ALARM), f"{path}/out", f"{path}/checkpoint", ["node", "t", "level"]).awaitTermination()
+    return spark.read.schema(f"node string, {trackers.ALERTS}").option("recursiveFileLookup", True).parquet(f"{path}/out")
+
+
 def injected_fault_eval(spark, sf):
     cfg = N.StepConfig(arm_tolerance=60.0, floor=45.0, sigma_min=1.0, z_limit=2.0, drift_floor=400.0)
     return trackers.fault_evaluation(sessions(spark, sf), NODE, ["u", "v"], cfg, steps=(20.0, 60.0, 120.0))
@@ -156,7 +174,7 @@ def calibration_six_position(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        step_tracker, load_tracker, level_detector, baseline_comparator, fast_alarm_replay, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
+        step_tracker, load_tracker, level_detector, baseline_comparator, fast_alarm_replay, fast_alarm_stream, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
         static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, calibration_six_position,
     )
 }
