@@ -66,3 +66,25 @@ def test_references_for_alarms(spark, out):
     assert r.segment in (0, 1) and r.small_deg >= 0.2 and r.step_deg >= 0.5
     if r.rx is not None:
         assert abs(r.rx**2 + r.ry**2 + r.rz**2 - 1) < 1e-9
+
+
+def test_injected_rotations_and_control(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for s in range(40):
+        for k in range(100):
+            v = np.array([0.01, 0.02, 1.0]) * 9.81 + rng.normal(0, 0.01, 3)
+            rows.append(("RFM_0001", (1_789_000_000 + s * 14_400 + k * 10) * 1_000_000, *v.tolist()))
+    df = spark.createDataFrame(rows, "sensor_id string, us long, x double, y double, z double")
+    out = {r.theta: r for r in M.raw_cases(df, [0.5, 1.5], 0.6, M.TiltConfig(least_windows=20)).collect()}
+    assert not out[0.0].detected and out[0.5].detected and out[1.5].detected
+    assert 0 < out[1.5].delay_h < 12
+
+
+def test_feature_windows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select(F.lit("n").alias("node"), (F.col("id") * 1_000_000).alias("us"), F.sin(F.col("id") / 5).alias("v"))
+    df = df.withColumn("v", F.when(F.col("us") == 250_000_000, 50.0).otherwise(F.col("v")))
+    rows = M.features(df, ["node"], ["us"], "v", 100, 50, 1.0).collect()
+    assert len(rows) == 9 and max(r.peak for r in rows) < 1.1 and sum(r.outliers for r in rows) >= 2

@@ -240,3 +240,40 @@ def epochs(levels: DataFrame) -> DataFrame:
         F.first("ref_u", True).alias("ref_u"), F.first("ref_v", True).alias("ref_v"), F.max(F.when(F.col("state").isin("BASE", "OK"), robust.finite(F.col("shift")))).alias("quiet_max"),
     )
     return rows.withColumn("margin_x", F.when(F.col("quiet_max") > 0, 0.12 / F.col("quiet_max")).otherwise(F.lit(float("inf"))))
+
+
+def turned(rows: DataFrame, degrees: list[float], onset: float, key: str = "sensor_id") -> DataFrame:
+    """Copies of raw samples, one per angle, turned by it from a fraction of each sensor's time on.
+
+    Every copy is a sensor of its own, `id@angle`, so all cases run through the pipeline together. The angle 0 is the control.
+    """
+    grid = rows.sparkSession.createDataFrame([(float(d),) for d in degrees], "theta double")
+    ref = rows.groupBy(key).agg(*[robust.median(c).alias(f"_{c}") for c in "xyz"], F.min("us").alias("_from"), F.max("us").alias("_to"))
+    axis, _ = vectors.basis(vectors.unit(vectors.triple("_x", "_y", "_z")))
+    ref = ref.select(key, *[c.alias(n) for c, n in zip(axis, ("_ax", "_ay", "_az"), strict=True)], (F.col("_from") + (F.col("_to") - F.col("_from")) * onset).cast("bigint").alias("onset_us"))
+    out = rows.crossJoin(F.broadcast(grid)).join(ref, key)  # a fixed list of angles for every sample
+    moved = vectors.rotate(vectors.triple("x", "y", "z"), vectors.triple("_ax", "_ay", "_az"), F.when(F.col("us") >= F.col("onset_us"), F.col("theta")).otherwise(F.lit(0.0)))
+    out = out.withColumns(dict(zip(("_x", "_y", "_z"), moved, strict=True)))
+    return out.select(F.concat(key, F.lit("@"), F.col("theta").cast("string")).alias(key), "us", *[F.col(f"_{c}").alias(c) for c in "xyz"], "theta", "onset_us")
+
+
+def raw_cases(rows: DataFrame, degrees: list[float], onset: float = 0.6, cfg: TiltConfig = TiltConfig()) -> DataFrame:
+    """Per sensor and angle whether the whole pipeline reports an event after the onset, and after how many hours it is confirmed."""
+    every = turned(rows, [0.0, *degrees], onset)
+    about = every.groupBy("sensor_id").agg(F.first("theta").alias("theta"), F.first("onset_us").alias("onset_us"))
+    sessions = tilt(every.drop("theta", "onset_us"), cfg)["sessions"].join(about, "sensor_id")
+    w = S.ordered(SEGMENT, ["start_us"])
+    late = sessions.withColumn("confirmed_us", F.lead("start_us").over(w)).where((F.col("state") == "EVENT") & (F.col("start_us") >= F.col("onset_us")))
+    found = late.groupBy("sensor_id").agg(F.min("confirmed_us").alias("confirmed_us"))
+    out = about.join(found, "sensor_id", "left")
+    return out.select(F.substring_index("sensor_id", "@", 1).alias("sensor_id"), "theta", F.col("confirmed_us").isNotNull().alias("detected"), ((F.col("confirmed_us") - F.col("onset_us")) / float(HOUR)).alias("delay_h"))
+
+
+def features(df: DataFrame, key: list[str], order: list[str], channel: str, size: int, step: int, rate: float) -> DataFrame:
+    """Sliding-window features of a denoised channel: time domain, and faults among the window's samples."""
+    clean = S.hampel(df, key, order, channel)
+    flagged = S.fault_flags(clean, key, order, channel, -1e9, 1e9, 1 / rate)
+    rows = S.sliding(flagged, key, order, size, step)
+    out = X.time_domain(rows, [*key, "window_no"], "cleaned")
+    faults = rows.groupBy(*key, "window_no").agg(F.count_if("any_fault").alias("faults"), F.count_if("outlier").alias("outliers"))
+    return out.join(faults, [*key, "window_no"])
