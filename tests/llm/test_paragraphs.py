@@ -113,7 +113,34 @@ def test_peeling_equals_all_pairs(n):
     sim = M.similarity(flat, offsets, i, j)
     want = [len(set(sets[x]) & set(sets[y])) / len(set(sets[x]) | set(sets[y])) for x, y in zip(i, j)]
     assert np.allclose(sim, want)
-    assert (local(n, *M.linked(flat, offsets)) == local(n, i[sim >= M.SIMILAR], j[sim >= M.SIMILAR])).all()
+    whole = local(n, i[sim >= M.SIMILAR], j[sim >= M.SIMILAR])
+    assert (local(n, *M.linked(flat, offsets)) == whole).all()
+    assert (local(n, *M.filtered(flat, offsets)) == whole).all()
+    assert (M.similarity(flat, offsets, i, j, M.SIMILAR) >= M.SIMILAR).tolist() == (sim >= M.SIMILAR).tolist()
+
+
+def test_a_quoted_line_is_not_compared():
+    """A thousand sets that share most shingles but are not similar, and one group of copies among them."""
+    rng = np.random.default_rng(3)
+    line = np.arange(9)
+    sets = [np.unique(np.r_[line, rng.integers(100, 10**9, 7)]) for _ in range(1000)]
+    copy = np.unique(np.r_[line, rng.integers(100, 10**9, 7)])
+    sets += [np.unique(np.r_[copy[:-1], 10**9 + k]) for k in range(100)]
+    offsets, flat = np.r_[0, np.cumsum([len(s) for s in sets])], np.concatenate(sets)
+    seen = []
+    plain = M.similarity
+
+    def counted(f, o, i, j, least=0.0):
+        seen.append(len(i))
+        return plain(f, o, i, j, least)
+
+    M.similarity = counted
+    try:
+        label = local(len(sets), *M.filtered(flat, offsets))
+    finally:
+        M.similarity = plain
+    assert (label[:1000] == np.arange(1000)).all() and (label[1000:] == 1000).all()
+    assert sum(seen) < 60_000
 
 
 def test_colliding_over_batches():

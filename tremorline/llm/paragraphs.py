@@ -7,7 +7,8 @@ line breaks fall. Paragraphs of at least `LEAST` words take part, as sets of 5-w
 1. `BANDS` bands of `ROWS` minima each give a paragraph its keys (recall 0.97 at similarity 0.8, 0.998 at 0.9). Keys held by
    two or more distinct paragraphs are kept.
 2. The shingle sets of those paragraphs are fetched and each key's paragraphs verified by exact Jaccard similarity of
-   `SIMILAR` or more. Jaccard distance is a metric, so a large group is peeled ball by ball (see `linked`) and no link is lost.
+   `SIMILAR` or more. In a large group only members that share a rare shingle are compared (see `filtered`), and large lists of
+   such members are peeled ball by ball, for Jaccard distance is a metric (see `linked`); neither loses a link.
 3. Verified links are clustered by components; equal paragraphs are one from the start. In each cluster the first
    occurrence (smallest document, earliest word) stays and the others are repeats.
 4. Repeats that adjoin in a document form runs; runs of at least `RUN` words are removed. Shorter ones, such as a
@@ -32,7 +33,7 @@ from .substrings import _ranked, _sliding_min
 
 WINDOW, LEAST, SHINGLE, RUN = 24, 8, 5, 16
 BANDS, ROWS, SIMILAR = 5, 3, 0.8
-#: Groups of at most so many paragraphs are compared pair by pair, all in one step; larger ones are peeled.
+#: Groups of at most so many paragraphs are compared pair by pair, all in one step; larger ones are filtered and peeled.
 PAIRED = 48
 #: At most so many (paragraph, cluster) or (paragraph) rows are broadcast.
 SMALL = 200_000
@@ -166,9 +167,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["pid", "shingles"])
 
 
-def similarity(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarity of pairs of sets, given as sorted runs of one array."""
+def similarity(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Exact Jaccard similarity of pairs of sets, given as sorted runs of one array; 0 where their sizes alone rule out `least`."""
     size = np.diff(offsets)
+    if least and len(i):
+        may = np.flatnonzero(np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        out = np.zeros(len(i))
+        out[may] = similarity(flat, offsets, i[may], j[may])
+        return out
     out = np.zeros(len(i))
     for at in range(0, len(i), 50_000):
         x, y = i[at : at + 50_000], j[at : at + 50_000]
@@ -203,6 +209,46 @@ def linked(flat: np.ndarray, offsets: np.ndarray, least: float = SIMILAR) -> tup
     return (np.concatenate(a), np.concatenate(b)) if a else (own[:0], own[:0])
 
 
+def _pairs(head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions inside runs given by first position and length."""
+    left, right = [], []
+    for m in np.unique(size).tolist():
+        x, y = np.triu_indices(m, 1)
+        base = head[size == m]
+        left.append((base[:, None] + x).ravel()), right.append((base[:, None] + y).ravel())
+    return (np.concatenate(left), np.concatenate(right)) if left else (head[:0], head[:0])
+
+
+def filtered(flat: np.ndarray, offsets: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """The same links for a large group, by prefix filtering: similar sets share one of their rarest shingles.
+
+    With shingles in order of their frequency in the group, two sets of the wanted similarity meet among the first
+    |s| - ceil(least * |s|) + 1 of each. What all members have in common, like a line they quote, is last and is
+    never compared; members that share a rare shingle are mostly similar, and large lists of them are peeled.
+    """
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size)), size)
+    value, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((number, count[number], row))
+    place = np.arange(len(row)) - np.repeat(offsets[:-1], size)
+    first = order[place < np.repeat(size - np.ceil(least * size - 1e-9) + 1, size)]
+    first = first[np.lexsort((row[first], number[first]))]
+    member, shingle = row[first], number[first]
+    head = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(shingle) else first
+    many = np.diff(np.r_[head, len(shingle)])
+    i, j = _pairs(head[many <= PAIRED], many[many <= PAIRED])
+    pair = np.unique(member[i] * len(size) + member[j])
+    i, j = pair // len(size), pair % len(size)
+    good = similarity(flat, offsets, i, j, least) >= least
+    a, b = [i[good]], [j[good]]
+    for h, m in zip(head[many > PAIRED].tolist(), many[many > PAIRED].tolist(), strict=True):
+        own = member[h : h + m]
+        part = flat[K.ranges(offsets[own], size[own])]
+        x, y = linked(part, np.r_[0, np.cumsum(size[own])], least)
+        a.append(own[x]), b.append(own[y])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key, with shingle sets: a star of links for each verified component of each key."""
 
@@ -214,17 +260,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lists.flatten().to_numpy()
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[head, len(key)])
-        left, right = [], []
         small = size <= PAIRED
-        for m in np.unique(size[small]).tolist():
-            x, y = np.triu_indices(m, 1)
-            base = head[small & (size == m)]
-            left.append((base[:, None] + x).ravel()), right.append((base[:, None] + y).ravel())
-        i, j = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        good = similarity(flat, offsets, i, j) >= SIMILAR
+        i, j = _pairs(head[small], size[small])
+        good = similarity(flat, offsets, i, j, SIMILAR) >= SIMILAR
         links = [(i[good], j[good])]
         for h, n in zip(head[~small].tolist(), size[~small].tolist(), strict=True):
-            x, y = linked(flat[offsets[h] : offsets[h + n]], offsets[h : h + n + 1] - offsets[h])
+            x, y = filtered(flat[offsets[h] : offsets[h + n]], offsets[h : h + n + 1] - offsets[h])
             links.append((h + x, h + y))
         label = local(len(key), *(np.concatenate(v) for v in zip(*links, strict=True)))
         tied = np.flatnonzero(label != np.arange(len(key)))
