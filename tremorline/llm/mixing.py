@@ -60,13 +60,12 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
 
     A table of at most `small` cells is raked in one partition by windows, a larger one by partial aggregates and joins.
     """
-    total = cells.agg(F.sum("n").cast("double").alias("total"))
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
     targets = {}
     for name, power in powers.items():
-        marginal = cells.groupBy(f"_{name}").agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("p"))
-        whole = marginal.agg(F.sum("p").alias("whole"))
-        share = marginal.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(total))  # one row each
-        targets[name] = K.saved(share.select(f"_{name}", (F.col("total") * F.col("p") / F.col("whole")).alias("target")), f"target-{name}")
+        marginal = K.saved(cells.groupBy(f"_{name}").agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("p")), f"target-{name}")
+        whole = float(marginal.agg(F.sum("p")).first()[0] or 1)
+        targets[name] = marginal.select(f"_{name}", (F.lit(total) * F.col("p") / F.lit(whole)).alias("target"))
     cells = K.saved(cells.withColumn("m", F.lit(1.0)), "cells")
     if cells.count() <= small:  # one partition meets every window's distribution: no shuffle at all
         for name in powers:
@@ -92,8 +91,8 @@ def calibrated(rows: DataFrame, powers: dict[str, float] = POWERS, rounds: int =
     """Cells with _weight and _probability, broadcast where their counted number allows; rows has describe()'s columns."""
     cells = K.saved(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")), "counts")
     cells = rake(cells, powers, rounds)
-    top = cells.where("n > 0").agg(F.coalesce(F.max("m"), F.lit(1.0)).alias("top"))
-    cells = cells.crossJoin(F.broadcast(top)).select("_source", "_lang", "_topic", F.col("m").alias("_weight"), F.least(F.lit(1.0), F.col("m") / F.col("top")).alias("_probability"))
+    top = cells.where("n > 0").agg(F.max("m")).first()[0] or 1.0
+    cells = cells.select("_source", "_lang", "_topic", F.col("m").alias("_weight"), F.least(F.lit(1.0), F.col("m") / F.lit(top)).alias("_probability"))
     return F.broadcast(cells) if cells.count() <= SMALL else cells
 
 
