@@ -136,6 +136,11 @@ def legacy_cell_audit(spark, sf):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(packets.legacy_cells(F.col("value"))).cast("bigint").alias("cells"))
 
 
+@query("legacy_parse_error", f"WITH {EV} SELECT event_id, event_id % 8 IN (4, 6, 7) AS legacy_parse_error FROM ev")
+def legacy_parse_error(spark, sf):
+    return packets.legacy_parse_error(_packets(spark, sf)).select("event_id", "legacy_parse_error")
+
+
 @query("influx_pivot", """SELECT epoch_us(ts) AS us, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'error' THEN value END) AS error,
   max(CASE WHEN event_type = 'view' THEN value END) AS view FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY 1""")
 def influx_pivot(spark, sf):

@@ -116,6 +116,23 @@ def legacy_cells(value: Column) -> Column:
     return F.regexp_count(value, F.lit(r"\d+(?:\.\d+)?T?:-?\d+,-?\d+(?:\.\d+)?kg"))
 
 
+def legacy_parse_error(df: DataFrame, value: str = "value", device: str = "device", name: str = "legacy_parse_error") -> DataFrame:
+    """What an older audit calls an error: fewer than nine fields after sensor and date, or load-cell fields that are not
+    label:raw and weight pairs with at most one counter. It knows no clock errors and no triplets."""
+    df = df.withColumn("_t", F.split(F.regexp_replace(F.trim(value), '^"+|"+$', ""), ","))
+    token = lambda i: F.get(F.col("_t"), i)
+    df = df.withColumn("_i", F.coalesce(token(F.lit(0)).rlike("^[A-Za-z]"), F.lit(False)).cast("int"))
+    dated = F.coalesce(token(F.col("_i")).rlike(DATE), F.lit(False))
+    split = dated & ~token(F.col("_i")).contains(" ") & F.coalesce(F.trim(token(F.col("_i") + 1)).rlike(CLOCK), F.lit(False))
+    df = df.withColumn("_i", F.col("_i") + dated.cast("int") + split.cast("int"))
+    df = df.withColumn("_rest", F.filter(F.slice("_t", F.col("_i") + 10, F.size("_t")), lambda t: t != ""))
+    pair = F.filter(F.transform("_rest", lambda t, i: t.contains(":") & F.coalesce(F.get(F.col("_rest"), i + 1).contains("kg"), F.lit(False))), lambda x: x)
+    counter = F.coalesce(F.get(F.col("_rest"), F.size("_rest") - 1).rlike(r"^\s*-*\d+\s*$"), F.lit(False))
+    left = (F.col(device) == "RFL") & (F.size("_rest") > 2 * F.size(pair) + counter.cast("int"))
+    error = F.coalesce((F.size("_t") - F.col("_i") < 9) | left, F.lit(True))
+    return df.withColumn(name, F.col(value).isNull() | error).drop("_t", "_i", "_rest")
+
+
 def shape(value: Column) -> Column:
     """A packet's text with every number as N."""
     return F.regexp_replace(value, r"-?\d+(\.\d+)?", "N")
