@@ -171,10 +171,34 @@ def calibration_six_position(spark, sf):
     return spark.createDataFrame([(k, float(bias[i]), float(scale[i]), json.dumps([round(float(x), 6) for x in rot[i]])) for i, k in enumerate("xyz")], "axis string, bias double, scale double, rotation string")
 
 
+def _tilt(spark, sf):
+    """Acceleration samples of all nodes through the whole tilt pipeline, on the scale of these events."""
+    from . import monitor
+
+    rows = readings(spark, sf).select(F.col("node").alias("sensor_id"), (F.col("t") * S.SECOND).cast("bigint").alias("us"), "x", "y", "z")
+    cfg = monitor.TiltConfig(window_s=6 * 3600.0, least_samples=3, gap_s=4 * 3600.0, jump_deg=60.0, session_samples=2, settle_h=6.0, norm_tolerance=0.5, least_windows=10, steps=STEPS)
+    return monitor.tilt(rows, cfg)
+
+
+def tilt_pipeline_segments(spark, sf):
+    return _tilt(spark, sf)["segments"]
+
+
+def tilt_pipeline_sessions(spark, sf):
+    return _tilt(spark, sf)["sessions"].select("sensor_id", "segment", "session", "start_us", "u", "v", "n", "s_w", "state", "epoch", "shift", "z", "drift_day")
+
+
+def alarm_references(spark, sf):
+    from . import monitor
+
+    rows = _tilt(spark, sf)["sessions"].drop("state", "epoch", "shift", "z", "drift_day")
+    return monitor.alarm_references(monitor.epochs(trackers.detect_levels(rows, monitor.SEGMENT, N.LevelConfig(min_windows=1, agree=30.0, floor=25.0))), rows.groupBy("sensor_id").agg(F.max("segment").alias("segment")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         step_tracker, load_tracker, level_detector, baseline_comparator, fast_alarm_replay, fast_alarm_stream, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
-        static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, calibration_six_position,
+        static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
     )
 }
