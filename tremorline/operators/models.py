@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from .kernels import mad
 
@@ -164,6 +165,36 @@ def six_position(raw: np.ndarray, g: float = 9.81, rounds: int = 50) -> tuple[np
     return bias, scale
 
 
+def six_position_rows(df: DataFrame, columns: list[str], g: float = 9.81, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """six_position over a table of any length: each round is one pass that sums the normal equations."""
+    low_high = df.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+    bias, scale = np.array([(low_high[2 * k] + low_high[2 * k + 1]) / 2 for k in range(3)]), np.ones(3)
+    for _ in range(rounds):
+        parts = df.select(*columns).mapInArrow(_normal_sums(bias, scale, g), "sums array<double>").collect()
+        sums = np.sum([r.sums for r in parts], axis=0).reshape(6, 7)
+        step = np.linalg.lstsq(sums[:, :6], sums[:, 6], rcond=None)[0]
+        bias, scale = bias + step[:3], scale + step[3:]
+        if np.abs(step).max() < 1e-12:
+            break
+    return bias, scale
+
+
+def _normal_sums(bias: np.ndarray, scale: np.ndarray, g: float) -> Callable:
+    """Sums of one partition: the Jacobian's products with itself and with the residuals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, 7))
+        for batch in batches:
+            raw = np.column_stack([c.to_numpy() for c in batch.columns])
+            v = (raw - bias) * scale
+            size = np.linalg.norm(v, axis=1)
+            jac = np.hstack([-v * scale / size[:, None], v * (raw - bias) / size[:, None]])
+            total += jac.T @ np.column_stack([jac, g - size])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
 def rotation_from_gravity(mean: np.ndarray, target: np.ndarray = np.array([0.0, 0.0, 1.0])) -> np.ndarray:
     """The rotation that turns the mean gravity to the target; a half turn about a crossing axis where they are opposed."""
     a, b = mean / np.linalg.norm(mean), target / np.linalg.norm(target)
@@ -179,14 +210,56 @@ def rotation_from_gravity(mean: np.ndarray, target: np.ndarray = np.array([0.0,
     return np.eye(3) + k + k @ k / (1 + c)
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, step: int) -> Iterator[np.ndarray]:
+    """The slopes of all pairs of points with different x, in blocks of about `step`."""
+    n = len(x)
+    rows = max(1, step // max(1, n))
+    for at in range(0, n - 1, rows):
+        dx, dy = x[None, at + 1 :] - x[at : at + rows, None], y[None, at + 1 :] - y[at : at + rows, None]
+        good = (np.arange(at + 1, n)[None, :] > np.arange(at, min(at + rows, n))[:, None]) & (dx != 0)
+        yield dy[good] / dx[good]
+
+
+def ranked_slopes(x: np.ndarray, y: np.ndarray, ranks: Callable[[int], list[int]], held: int = 4_000_000) -> list[float]:
+    """The slopes at the ranks that `ranks` names for their number; at most about `held` are kept at a time."""
+    low, high, count = np.inf, -np.inf, 0
+    for s in _slopes(x, y, held):
+        if len(s):
+            low, high, count = min(low, s.min()), max(high, s.max()), count + len(s)
+    out = []
+    for rank in ranks(count) if count else []:
+        a, b, below, inside = low, high, 0, count
+        while inside > held and a < b:  # narrow [a, b] to the bin that holds the rank
+            edges = np.unique(np.linspace(a, b, 1025))
+            edges[0], edges[-1] = a, b
+            at = np.zeros(len(edges), np.int64)
+            for s in _slopes(x, y, held):
+                s = s[(s >= a) & (s <= b)]
+                at += np.bincount(np.searchsorted(edges, s), minlength=len(edges))  # bin k is (edge k - 1, edge k]
+            upto = np.cumsum(at)
+            k = int(np.searchsorted(upto, rank - below, "right"))
+            inside = int(at[k])
+            below += int(upto[k - 1]) if k else 0
+            a, b = (a, a) if k == 0 else (np.nextafter(edges[k - 1], np.inf), edges[k])
+        if a == b:
+            out.append(float(a))
+            continue
+        kept = np.concatenate([s[(s >= a) & (s <= b)] for s in _slopes(x, y, held)])
+        out.append(float(np.partition(kept, rank - below)[rank - below]))
+    return out
+
+
 def sen_interval(x: np.ndarray, y: np.ndarray, level: float = 0.95) -> tuple[float, float, float]:
-    """Theil-Sen slope with its rank-based confidence interval."""
+    """Theil-Sen slope with its rank-based confidence interval; NaN where no two points have different x."""
     from statistics import NormalDist
 
-    i, j = np.triu_indices(len(x), 1)
-    good = x[j] != x[i]
-    slopes = np.sort((y[j] - y[i])[good] / (x[j] - x[i])[good])
     n = len(x)
     spread = NormalDist().inv_cdf(0.5 + level / 2) * np.sqrt(n * (n - 1) * (2 * n + 5) / 18)
-    low, high = int(round((len(slopes) - spread) / 2)) , int(round((len(slopes) + spread) / 2)) - 1
-    return float(np.median(slopes)), float(slopes[max(0, low)]), float(slopes[min(len(slopes) - 1, high)])
+
+    def ranks(m: int) -> list[int]:
+        low, high = int(round((m - spread) / 2)), int(round((m + spread) / 2)) - 1
+        return [(m - 1) // 2, m // 2, max(0, low), min(m - 1, high)]
+
+    if not (found := ranked_slopes(x, y, ranks)):
+        return float("nan"), float("nan"), float("nan")
+    return (found[0] + found[1]) / 2, found[2], found[3]

@@ -145,7 +145,7 @@ def dominant_frequency(spark, sf):
 
 
 def stream_alignment(spark, sf):
-    rows = _cat().ev(spark, sf).where("event_id < 20000").select("node", "us", "value")
+    rows = _cat().ev(spark, sf).select("node", "us", "value")
     moved = rows.withColumn("i", F.row_number().over(W.partitionBy("node").orderBy("us"))).where("i > 7").drop("i")
     return signal.alignment(rows, moved, NODE, "us", "value")
 
@@ -154,20 +154,33 @@ def trend_interval(spark, sf):
     rows = _cat().stab(spark, sf).select("node", "start_us", "u")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_us").head(400)
+        pdf = pdf.sort_values("start_us")
         slope, low, high = models.sen_interval(pdf["start_us"].to_numpy(float) / 8.64e10, pdf["u"].to_numpy(float))
         return pd.DataFrame([{"node": pdf["node"].iloc[0], "slope_day": slope, "low": low, "high": high, "excludes_zero": bool(low > 0 or high < 0)}])
 
     return rows.groupBy("node").applyInPandas(run, "node string, slope_day double, low double, high double, excludes_zero boolean")
 
 
+def theil_sen_whole(spark, sf):
+    """Theil-Sen slope over all sessions of each node; theil_sen_slope, which DuckDB checks, takes those its SQL names."""
+    rows = _cat().stab(spark, sf).select("node", "start_us", "u")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start_us")
+        slope = models.sen_interval(pdf["start_us"].to_numpy(float) / float(_cat().HOUR), pdf["u"].to_numpy(float))[0]
+        return pd.DataFrame([{"node": pdf["node"].iloc[0], "sessions": len(pdf), "slope": round(slope, 6)}])
+
+    return rows.groupBy("node").applyInPandas(run, "node string, sessions long, slope double")
+
+
 def calibration_six_position(spark, sf):
-    """Bias and scale recovered from synthetic captures in many positions."""
-    rows = _cat().ev(spark, sf).where("event_id < 600").select("event_id", "value", "raw").orderBy("event_id").collect()  # captures of one calibration
-    v = np.array([(r.value - 50, r.raw - 50.0, 30.0 * (-1) ** r.event_id) for r in rows])
-    v = 9.81 * v / np.linalg.norm(v, axis=1)[:, None]
-    bias, scale = models.six_position(v / np.array([1.02, 0.97, 1.05]) + np.array([0.1, -0.2, 0.05]))
-    rot = models.rotation_from_gravity(v.mean(axis=0))
+    """Bias and scale recovered from synthetic captures in many positions, one of each event."""
+    rows = _cat().ev(spark, sf).select(F.col("value") - 50, F.col("raw") - 50.0, F.when(F.col("event_id") % 2 == 0, 30.0).otherwise(-30.0)).toDF(*"xyz").dropna()
+    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    rows = rows.select(*[(9.81 * F.col(k) / size).alias(k) for k in "xyz"])
+    raw = rows.select(*[(F.col(k) / s + b).alias(k) for k, s, b in zip("xyz", (1.02, 0.97, 1.05), (0.1, -0.2, 0.05), strict=True)])
+    bias, scale = models.six_position_rows(raw, list("xyz"))
+    rot = models.rotation_from_gravity(np.array(rows.agg(*[F.avg(k) for k in "xyz"]).first(), float))
     return spark.createDataFrame([(k, float(bias[i]), float(scale[i]), json.dumps([round(float(x), 6) for x in rot[i]])) for i, k in enumerate("xyz")], "axis string, bias double, scale double, rotation string")
 
 
@@ -199,6 +212,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         step_tracker, load_tracker, level_detector, baseline_comparator, fast_alarm_replay, fast_alarm_stream, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
-        static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
+        static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, theil_sen_whole, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
     )
 }
