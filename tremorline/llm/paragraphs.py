@@ -35,6 +35,8 @@ WINDOW, LEAST, SHINGLE, RUN = 24, 8, 5, 16
 BANDS, ROWS, SIMILAR = 5, 3, 0.8
 #: Groups of at most so many paragraphs are compared pair by pair, all in one step; larger ones are filtered and peeled.
 PAIRED = 48
+#: Shingles of whole keys that one step verifies, about.
+HELD = 400_000
 #: At most so many (paragraph, cluster) or (paragraph) rows are broadcast.
 SMALL = 200_000
 _SEEDS = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -278,11 +280,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key = batch.column("key").to_numpy()
         held.append(batch)
-        size += batch.num_rows
-        if size >= 20_000 and key[0] != key[-1]:
+        size += len(batch.column("shingles").flatten())
+        if size >= HELD and key[0] != key[-1]:
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
             yield work([*held[:-1], batch.slice(0, cut)])
-            held, size = [batch.slice(cut)], batch.num_rows - cut
+            held = [batch.slice(cut)]
+            size = len(held[0].column("shingles").flatten())
     if held:
         yield work(held)
 

@@ -260,10 +260,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; one row even where ids repeat or are null."""
+    """The document with the smallest id of each group of near copies; one row even where ids repeat or are null.
+
+    Near copies are those of `near`, by Jaccard similarity; the 3 bits of the query miss most of them.
+    """
+    from . import near
+
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs = docs.select(*columns)
-    found = K.saved(clusters(docs), "clusters")
+    found = K.saved(near.clusters(docs), "clusters")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_key").alias("_key"))).alias("best")
     keys = found.groupBy("root").agg(first).select("best.*")
     keyed = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "_key": F.xxhash64("text")})
