@@ -11,8 +11,10 @@ line breaks fall. Paragraphs of at least `LEAST` words take part, as sets of 5-w
    such members are peeled ball by ball, for Jaccard distance is a metric (see `linked`); neither loses a link.
 3. Verified links are clustered by components; equal paragraphs are one from the start. In each cluster the first
    occurrence (smallest document, earliest word) stays and the others are repeats.
-4. Repeats that adjoin in a document form runs; runs of at least `RUN` words are removed. Shorter ones, such as a
-   common line, stay.
+4. Each repeat is extended word by word in both directions while its text equals that around the occurrence that stays, up to `REACH`
+   words a side: over pieces too short to take part, and to the passage's ends inside pieces that reach past it.
+5. Extended repeats that adjoin in a document form runs; runs of at least `RUN` words are removed. Shorter ones, such as a
+   common line, stay. A passage none of whose pieces takes part whole is missed.
 
 Defined results: null and blank texts have no paragraphs. Rows with the same doc_id and text are one document; ids that repeat with
 different texts or are null are ordered as in `substrings`. Extra columns are ignored.
@@ -35,6 +37,8 @@ WINDOW, LEAST, SHINGLE, RUN = 24, 8, 5, 16
 BANDS, ROWS, SIMILAR = 5, 3, 0.8
 #: Groups of at most so many paragraphs are compared pair by pair, all in one step; larger ones are filtered and peeled.
 PAIRED = 48
+#: Words that a repeat is extended by on each side; equal text further on has paragraphs of its own.
+REACH = 64
 #: Shingles of whole keys that one step verifies, about.
 HELD = 400_000
 #: At most so many (paragraph, cluster) or (paragraph) rows are broadcast.
@@ -307,27 +311,100 @@ def links(texts: DataFrame) -> DataFrame:
     return components(verified, "paragraph-links")
 
 
-def repeats(texts: DataFrame) -> DataFrame:
-    """Removed paragraphs (rid, a, b, words, cluster, first_rid, first_a, run_words). texts: rid, text."""
+def late_places(texts: DataFrame) -> DataFrame:
+    """Paragraphs (rid, word, words, a, b, cluster, first) that have an earlier occurrence, the one that stays. texts: rid, text."""
     places = texts.select("rid", "text").mapInArrow(_places, PLACES)
     roots = K.saved(links(texts).select(F.col("node").alias("pid"), "root"), "roots")
     places = places.join(_maybe_broadcast(roots), "pid", "left").withColumn("cluster", F.coalesce("root", "pid")).drop("root", "pid")
-    spot = F.struct("rid", "word", "a")
+    spot = F.struct("rid", "word", "a", "words")
     groups = places.groupBy("cluster").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first != last").select("cluster", "first")
-    late = K.saved(places.join(groups, "cluster").where(F.struct("rid", "word", "a") != F.col("first")).distinct(), "repeats")
+    return K.saved(places.join(groups, "cluster").where(spot != F.col("first")).distinct(), "repeats")
+
+
+def repeats(texts: DataFrame) -> DataFrame:
+    """Runs of whole repeated paragraphs (rid, a, b, words, cluster, first_rid, first_a, run_words), not extended. texts: rid, text."""
     order = W.partitionBy("rid").orderBy("word")
-    late = late.withColumn("new", F.coalesce(F.lag(F.col("word") + F.col("words")).over(order) != F.col("word"), F.lit(True)))
+    late = late_places(texts).withColumn("new", F.coalesce(F.lag(F.col("word") + F.col("words")).over(order) != F.col("word"), F.lit(True)))
     late = late.withColumn("run", F.sum(F.col("new").cast("int")).over(order))
     late = late.withColumn("run_words", F.sum("words").over(W.partitionBy("rid", "run"))).where(F.col("run_words") >= RUN)
     return late.select("rid", "a", "b", "words", "cluster", F.col("first.rid").alias("first_rid"), F.col("first.a").alias("first_a"), "run_words", "run")
 
 
+def _word_hashes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, and hash, first and last byte of each of its words."""
+    buf, offsets, _ = K.flat(batch.column("text"))
+    for i, j in K.chunks(offsets):
+        part = offsets[i : j + 1] - offsets[i]
+        low = _LOWER[buf[offsets[i] : offsets[j]]]
+        ws, we = K.words(low, part)
+        h = K.Ranges(low)(ws, we)
+        edges = np.searchsorted(ws, part)
+        for r in range(j - i):
+            x, y = edges[r], edges[r + 1]
+            yield i + r, h[x:y], ws[x:y] - part[r], we[x:y] - part[r]
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words before (nearest first, with their bytes) and after each wanted occurrence."""
+    for batch in batches:
+        out: list[tuple] = []
+        want = batch.column("want")
+        for r, h, a, _ in _word_hashes(batch):
+            for w in want[r].as_py():
+                i, j = w["word"], w["word"] + w["words"]
+                out.append((w["cluster"], h[max(0, i - REACH) : i][::-1].view(np.int64), a[max(0, i - REACH) : i][::-1].astype(np.int32), h[j : j + REACH].view(np.int64)))
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["cluster", "before", "before_a", "after"])
+
+
+def _same(h: np.ndarray, want: np.ndarray) -> int:
+    """Equal words at the heads of two arrays."""
+    n = min(len(h), len(want))
+    differ = h[:n] != want[:n]
+    return int(np.argmax(differ)) if differ.any() else n
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The removed spans of each text: its repeats extended, disjoint, in runs of at least RUN words."""
+    for batch in batches:
+        out: list[tuple] = []
+        rids, pieces = batch.column("rid").to_pylist(), batch.column("pieces")
+        for r, h, a, b in _word_hashes(batch):
+            h, found, spans, at = h.view(np.int64), sorted(pieces[r].as_py(), key=lambda p: p["word"]), [], 0
+            for p, after in zip(found, [*[q["word"] for q in found[1:]], len(h)], strict=True):
+                i, j = p["word"], p["word"] + p["words"]
+                left = min(_same(h[:i][::-1][:REACH], np.array(p["before"], np.int64)), i - at)
+                right = min(_same(h[j : j + REACH], np.array(p["after"], np.int64)), after - j)
+                spans.append((i - left, j + right, p, left))
+                at = j + right
+            head = [k for k, s in enumerate(spans) if not k or spans[k - 1][1] != s[0]]
+            for run, (x, y) in enumerate(zip(head, [*head[1:], len(spans)], strict=True)):
+                size = spans[y - 1][1] - spans[x][0]
+                for s, e, p, left in spans[x:y] if size >= RUN else []:
+                    out.append((rids[r], int(a[s]), int(b[e - 1]), e - s, p["cluster"], p["first_rid"], p["before_a"][left - 1] if left else p["first_a"], size, run))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        columns = list(zip(*out, strict=True)) or [[]] * 9
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["rid", "a", "b", "words", "cluster", "first_rid", "first_a", "run_words", "run"])
+
+
+def removed(texts: DataFrame) -> DataFrame:
+    """Removed spans (rid, a, b, words, cluster, first_rid, first_a, run_words, run): extended repeats in runs. texts: rid, text."""
+    late = late_places(texts)
+    firsts = late.select("cluster", "first.rid", "first.word", "first.words").distinct().groupBy("rid").agg(F.collect_list(F.struct("cluster", "word", "words")).alias("want"))
+    around = texts.select("rid", "text").join(firsts, "rid").select("text", "want").mapInArrow(_around, "cluster long, before array<long>, before_a array<int>, after array<long>").dropDuplicates(["cluster"])
+    piece = F.struct("word", "words", "cluster", F.col("first.rid").alias("first_rid"), F.col("first.a").alias("first_a"), "before", "before_a", "after")
+    pieces = late.join(around, "cluster").groupBy("rid").agg(F.collect_list(piece).alias("pieces"))
+    out = texts.select("rid", "text").join(pieces, "rid").mapInArrow(_extend, "rid long, a int, b int, words int, cluster long, first_rid long, first_a int, run_words long, run long")
+    return K.saved(out, "removed").distinct()
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row per removed paragraph: doc_id, first and last byte, words, cluster, the document and byte of the occurrence
+    """One row per removed paragraph as extended: doc_id, first and last byte, words, cluster, the document and byte of the occurrence
     that stays, and the words of the removed run it is part of."""
     K.ship(docs.sparkSession)
     texts = _ranked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = repeats(texts)
+    found = removed(texts)
     if texts.select("rid", "doc_id").where("not (rid <=> doc_id)").limit(1).count():
         names = K.saved(texts.select("rid", "doc_id").distinct(), "names")
         found = found.join(names, "rid").join(names.select(F.col("rid").alias("first_rid"), F.col("doc_id").alias("first_doc_id")), "first_rid")
@@ -357,7 +434,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     K.ship(docs.sparkSession)
     texts = _ranked(docs.select(*columns))
-    runs = repeats(texts).groupBy("rid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    runs = removed(texts).groupBy("rid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     cuts = runs.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     rows = texts.join(cuts, "rid", "left").select("doc_id", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "text", "cuts")
     out = rows.mapInArrow(_cut, "doc_id long, lang string, source string, n_chars long, text string")
