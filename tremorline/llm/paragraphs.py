@@ -374,8 +374,8 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, found, spans, at = h.view(np.int64), sorted(pieces[r].as_py(), key=lambda p: p["word"]), [], 0
             for p, after in zip(found, [*[q["word"] for q in found[1:]], len(h)], strict=True):
                 i, j = p["word"], p["word"] + p["words"]
-                left = min(_same(h[:i][::-1][:REACH], np.array(p["before"], np.int64)), i - at)
-                right = min(_same(h[j : j + REACH], np.array(p["after"], np.int64)), after - j)
+                left = min(_same(h[:i][::-1][:REACH], np.array(p["before"] or [], np.int64)), i - at)
+                right = min(_same(h[j : j + REACH], np.array(p["after"] or [], np.int64)), after - j)
                 spans.append((i - left, j + right, p, left))
                 at = j + right
             head = [k for k, s in enumerate(spans) if not k or spans[k - 1][1] != s[0]]
@@ -390,11 +390,15 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(texts: DataFrame) -> DataFrame:
     """Removed spans (rid, a, b, words, cluster, first_rid, first_a, run_words, run): extended repeats in runs. texts: rid, text."""
-    late = late_places(texts)
-    firsts = late.select("cluster", "first.rid", "first.word", "first.words").distinct().groupBy("rid").agg(F.collect_list(F.struct("cluster", "word", "words")).alias("want"))
+    order = W.partitionBy("rid").orderBy("word")
+    late = late_places(texts).withColumns({
+        "head": F.coalesce(F.lag(F.col("word") + F.col("words")).over(order) != F.col("word"), F.lit(True)),
+        "tail": F.coalesce(F.lead("word").over(order) != F.col("word") + F.col("words"), F.lit(True)),
+    })  # inside a run nothing is left to extend over
+    firsts = late.where("head or tail").select("cluster", "first.rid", "first.word", "first.words").distinct().groupBy("rid").agg(F.collect_list(F.struct("cluster", "word", "words")).alias("want"))
     around = texts.select("rid", "text").join(firsts, "rid").select("text", "want").mapInArrow(_around, "cluster long, before array<long>, before_a array<int>, after array<long>").dropDuplicates(["cluster"])
-    piece = F.struct("word", "words", "cluster", F.col("first.rid").alias("first_rid"), F.col("first.a").alias("first_a"), "before", "before_a", "after")
-    pieces = late.join(around, "cluster").groupBy("rid").agg(F.collect_list(piece).alias("pieces"))
+    piece = F.struct("word", "words", "cluster", F.col("first.rid").alias("first_rid"), F.col("first.a").alias("first_a"), *[F.when(F.col(k), F.col(c)).alias(c) for k, c in (("head", "before"), ("head", "before_a"), ("tail", "after"))])
+    pieces = late.join(around, "cluster", "left").groupBy("rid").agg(F.collect_list(piece).alias("pieces"))
     out = texts.select("rid", "text").join(pieces, "rid").mapInArrow(_extend, "rid long, a int, b int, words int, cluster long, first_rid long, first_a int, run_words long, run long")
     return K.saved(out, "removed").distinct()
 
