@@ -40,7 +40,30 @@ def test_against_brute_force(spark, sf, order):
 def test_packed_keys():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
     for k in (keys, keys[:1], keys[:0], np.array([0, 2**64 - 1], np.uint64)):
-        assert (M.unpacked(M.packed(k)) == k).all()
+        assert (M.unpacked(M.packed(k), len(k)) == k).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_small_blocks_cut_long_texts(spark, sf, order):
+    """Blocks of 300 bytes: nearly every text is cut, and the results stay."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()
+    df = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, pytest.approx(r.log_score), r.n_unigram) for r in M.score(df, order, block=300).collect()}
+    for r, want in zip(rows, slow([r.text for r in rows], order)):
+        assert want == got[r.doc_id]
+
+
+def test_every_ngram_counts_with_seen_of_one(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    got = {r.doc_id: r.log_score for r in M.score(df, 2, seen=1).collect()}
+    assert got[1] == pytest.approx(math.log(0.4 * 2 / 6) + math.log(2 / 2) + math.log(1 / 2))
+
+
+def test_inputs_with_shuffles_are_written_first(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    a = sorted(tuple(r) for r in M.registered(df).select("doc_id", "n_tokens", "n_unigram").collect())
+    b = sorted(tuple(r) for r in M.registered(df.repartition(5)).select("doc_id", "n_tokens", "n_unigram").collect())
+    assert a == b
 
 
 def test_query_against_sql(spark, sf):

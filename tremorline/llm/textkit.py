@@ -7,6 +7,8 @@ Python step per character. Callers cut a batch into chunks of bounded bytes firs
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,27 +33,57 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_written: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh one only where the session names none (tests)."""
+    """The folder that all executors share; a fresh one only where the session names none and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tremorline-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, remembered for `discard`."""
+    path = f"{checkpoint_dir(spark)}/tremorline/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tremorline/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete every table that this process has written to the shared folder; call it once the results that read them are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+#: Nodes of a plan that reads the same rows in the same order each time.
+_STEADY = re.compile(r"[\s:+-]*(Project|Filter|Relation|LogicalRelation|LocalRelation|LogicalRDD|Union|SubqueryAlias)\b")
+
+
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df itself where its plan only scans, projects and filters; else written and read back, so that each pass meets the same order."""
+    plan = df._jdf.queryExecution().optimizedPlan().treeString().strip().splitlines()
+    return df if all(_STEADY.match(line) for line in plan) else saved(df, name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
