@@ -109,6 +109,56 @@ def test_round_trip_and_bad_files():
     assert got[5].payload() == payloads[1] and got[:4] == [None] * 4
 
 
+def colour_file():
+    rng = np.random.default_rng(6)
+    g = rng.integers(-60, 60, (12, 12, 64)) * (rng.random((12, 12, 64)) < 0.1)
+    return scalar_jpeg(53, 41, [(1, 2, 2), (2, 1, 1), (3, 1, 1)], [lambda y, x: g[y, x].tolist()] * 3, 2)
+
+
+def null_or_feature(files):
+    """decode() and all that _read asks of it, which must not raise."""
+    out = []
+    for d in M.decode(files):
+        out.append((d.feature(), d.payload()) if d else None)
+    return out
+
+
+def test_damaged_headers_give_null_features():
+    good, colour = M.encode([b"text " * 192])[0], colour_file()
+    frame = colour.index(b"\xff\xc0")
+    zero_factor = colour[: frame + 11] + b"\x00" + colour[frame + 12 :]
+    quant = colour.index(b"\xff\xdb")
+    short_quant = colour[:quant] + M._segment(0xDB, b"\x00\x01\x02") + colour[quant + 69 :]
+    chroma_only = scalar_jpeg(16, 16, [(1, 1, 1), (2, 1, 1)], [lambda y, x: [0] * 64] * 2, 0, interleaved=False)
+    first = chroma_only.index(b"\xff\xda")
+    chroma_only = chroma_only[:first] + chroma_only[chroma_only.index(b"\xff\xda", first + 2) :]
+    frame = good.index(b"\xff\xc0")
+    huge = good[: frame + 5] + b"\xff\xff\xff\xff" + good[frame + 9 :]
+    files = [zero_factor, short_quant, chroma_only, huge, good]
+    assert null_or_feature(files)[:4] == [None] * 4 and null_or_feature(files)[4][1] == b"text " * 192
+
+
+def test_foreign_comments_are_no_payload():
+    data = M.encode([b"y" * 192])[0]
+    note = M._segment(0xFE, M.TAG + b"192")
+    for text in (M.TAG, M.TAG + b"many", M.TAG + b"100", M.TAG + b"19200000", M.TAG + b"9" * 400, b"hello"):
+        (feature, payload), = null_or_feature([data.replace(note, M._segment(0xFE, text))])
+        assert payload is None and feature.startswith("24x8/")
+
+
+def test_random_damage_never_raises():
+    rng = np.random.default_rng(8)
+    whole = [M.encode([b"some words " * 192])[0], colour_file()]
+    files = []
+    for k in range(300):
+        raw = bytearray(whole[k % 2])
+        for at in rng.integers(0, len(raw) if k % 3 else 400, int(rng.integers(1, 6))):
+            raw[at] = int(rng.integers(0, 256))
+        files.append(bytes(raw[: int(rng.integers(1, len(raw)))] if k % 5 == 0 else raw))
+    got = null_or_feature([*files, *whole])
+    assert got[-2][1] == b"some words " * 192 and got[-1][0].startswith("53x41/")
+
+
 def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = registered.op1(spark, sf).collect()

@@ -9,8 +9,11 @@ The decoder takes any baseline (SOF0) or 8-bit sequential Huffman file: several
 scans, run lengths, with or without restart intervals. It advances all restart intervals ("lanes") of all images of a
 batch together, one symbol of each per step, so numpy does the work; a file without restarts is a single lane.
 
-Defined results: a null text is an empty one; texts are padded with spaces to a positive multiple of 192 bytes. Null or
-undecodable media give null features, never an error for the batch.
+Defined results: null and empty texts are 192 spaces; texts are padded with spaces to a positive multiple of 192 bytes. Very long
+texts are one image each, whose side grows with the root of its size. Rows are independent: repeated rows and null
+ids get equal rows, an empty table none, extra columns are ignored. Null media, and files that are damaged, cut short, not baseline, without a
+luminance scan, or that claim more blocks than their bytes can code, give null features, never an error for the batch; a
+file that holds no payload of `store` has a feature but no payload.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as K
 
 UNIT, TAIL = 192, 16
+#: What reading a damaged file can raise.
+DAMAGE = (ValueError, KeyError, IndexError, StopIteration)
 TAG = b"tremorline payload "
 
 # Zigzag order is a walk along anti-diagonals, built by rule.
@@ -194,11 +199,15 @@ class Image:
                 while body:
                     step = 129 if body[0] >> 4 else 65
                     q = body[1:step]
+                    if len(q) != step - 1:
+                        raise ValueError("short quantisation table")
                     self.quant[body[0] & 15] = [int.from_bytes(q[j : j + 2], "big") for j in range(0, 128, 2)] if step == 129 else list(q)
                     body = body[step:]
             elif marker == 0xC4:
                 while body:
                     n = 17 + sum(body[1:17])
+                    if len(body) < n:
+                        raise ValueError("short Huffman table")
                     tables[body[0]] = body[1:n]
                     body = body[n:]
             elif marker in (0xC0, 0xC1):
@@ -206,6 +215,8 @@ class Image:
                     raise ValueError("sample precision")
                 self.height, self.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 self.comps = [(body[j], body[j + 1] >> 4, body[j + 1] & 15, body[j + 2]) for j in range(6, 6 + 3 * body[5], 3)]
+                if any(not (1 <= h <= 4 and 1 <= v <= 4) for _, h, v, _ in self.comps):
+                    raise ValueError("sampling factor")
             elif 0xC2 <= marker <= 0xCF:
                 raise ValueError("not baseline")
             elif marker == 0xDD:
@@ -217,7 +228,13 @@ class Image:
                 end = self._end(data, i)
                 self.scans.append(([(k, tables[t >> 4], tables[16 | t & 15]) for k, t in chosen], interval, i, end))
                 i = end
+        if not any(k == 0 for chosen, *_ in self.scans for k, _, _ in chosen):
+            raise ValueError("no luminance scan")
         self.hmax, self.vmax = max(c[1] for c in self.comps), max(c[2] for c in self.comps)
+        for scan in self.scans:
+            n, plan = self.plan(scan)
+            if n * len(plan) > 4 * (scan[3] - scan[2]):  # a block takes two codes, so two bits at least
+                raise ValueError("more blocks than the data can hold")
 
     @staticmethod
     def _end(data: bytes, i: int) -> int:
@@ -398,10 +415,13 @@ class Decoded:
     def payload(self) -> bytes | None:
         """What encode() stored, or None for other files."""
         note = self.image.comment
-        if not note.startswith(TAG):
+        if not note.startswith(TAG) or not note[len(TAG) :].isdigit() or len(self.image.comps) != 1:
             return None
-        size = int(note[len(TAG) :])
+        size = int(note[len(TAG) : len(TAG) + 19])
         first, _ = self.scans[0]
+        wide, high = self.image.grid(0)
+        if size < UNIT or size % UNIT or size // 64 > wide * high:
+            return None
         c = self.coef[first : first + size // 64].reshape(-1)
         return np.where(c < 0, c + 128, c + 127).astype(np.uint8).tobytes()
 
@@ -419,7 +439,7 @@ def decode(files: list[bytes | None]) -> list[Decoded | None]:
     for data in files:
         try:
             images.append(Image(data) if data else None)
-        except (ValueError, KeyError, IndexError, StopIteration):
+        except DAMAGE:
             images.append(None)
     good = [i for i, x in enumerate(images) if x is not None]
     out: list[Decoded | None] = [None] * len(files)
@@ -427,7 +447,7 @@ def decode(files: list[bytes | None]) -> list[Decoded | None]:
         coef, where = _decode([files[i] for i in good], [images[i] for i in good])
         for i, scans in zip(good, where, strict=True):
             out[i] = Decoded(images[i], coef, scans)
-    except ValueError:
+    except DAMAGE:
         if len(files) > 1:
             return [decode([f])[0] for f in files]
     return out
