@@ -41,6 +41,8 @@ PAIRED = 48
 REACH = 64
 #: Shingles of whole keys that one step verifies, about.
 HELD = 400_000
+#: Shingles that one step of exact similarities compares, about.
+STEP = 2_000_000
 #: At most so many (paragraph, cluster) or (paragraph) rows are broadcast.
 SMALL = 200_000
 _SEEDS = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -182,14 +184,16 @@ def similarity(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarr
         out[may] = similarity(flat, offsets, i[may], j[may])
         return out
     out = np.zeros(len(i))
-    for at in range(0, len(i), 50_000):
-        x, y = i[at : at + 50_000], j[at : at + 50_000]
+    total = np.r_[0, np.cumsum(size[i] + size[j])]
+    cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + 1, STEP))).tolist() + [len(i)]
+    for at, stop in zip(cuts[:-1], cuts[1:], strict=True):  # some STEP shingles at once, however large the sets
+        x, y = i[at:stop], j[at:stop]
         pair = np.r_[np.repeat(np.arange(len(x)), size[x]), np.repeat(np.arange(len(y)), size[y])]
         value = flat[np.r_[K.ranges(offsets[x], size[x]), K.ranges(offsets[y], size[y])]]
         order = np.lexsort((value, pair))
         pair, value = pair[order], value[order]
         both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (value[1:] == value[:-1])], minlength=len(x))
-        out[at : at + 50_000] = both / (size[x] + size[y] - both)
+        out[at:stop] = both / (size[x] + size[y] - both)
     return out
 
 
@@ -255,8 +259,11 @@ def filtered(flat: np.ndarray, offsets: np.ndarray, least: float = SIMILAR) -> t
     return np.concatenate(a), np.concatenate(b)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, with shingle sets: a star of links for each verified component of each key."""
+def _verifier(paired: int = PAIRED, peeled: int = PAIRED):
+    """Over rows sorted by key, with shingle sets: a star of links for each verified component of each key.
+
+    Groups of at most `paired` members are compared pair by pair, all in one step, larger ones of at most `peeled` ball by ball.
+    """
 
     def work(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -266,32 +273,35 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lists.flatten().to_numpy()
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[head, len(key)])
-        small = size <= PAIRED
+        small = size <= paired
         i, j = _pairs(head[small], size[small])
         good = similarity(flat, offsets, i, j, SIMILAR) >= SIMILAR
         links = [(i[good], j[good])]
         for h, n in zip(head[~small].tolist(), size[~small].tolist(), strict=True):
-            x, y = filtered(flat[offsets[h] : offsets[h + n]], offsets[h : h + n + 1] - offsets[h])
+            x, y = (linked if n <= peeled else filtered)(flat[offsets[h] : offsets[h + n]], offsets[h : h + n + 1] - offsets[h])
             links.append((h + x, h + y))
         label = local(len(key), *(np.concatenate(v) for v in zip(*links, strict=True)))
         tied = np.flatnonzero(label != np.arange(len(key)))
         return pa.RecordBatch.from_arrays([pa.array(pid[tied]), pa.array(pid[label[tied]])], names=["a", "b"])
 
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("key").to_numpy()
-        held.append(batch)
-        size += len(batch.column("shingles").flatten())
-        if size >= HELD and key[0] != key[-1]:
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            yield work([*held[:-1], batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-            size = len(held[0].column("shingles").flatten())
-    if held:
-        yield work(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            held.append(batch)
+            size += len(batch.column("shingles").flatten())
+            if size >= HELD and key[0] != key[-1]:
+                cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+                yield work([*held[:-1], batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+                size = len(held[0].column("shingles").flatten())
+        if held:
+            yield work(held)
+
+    return run
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
@@ -307,7 +317,7 @@ def links(texts: DataFrame) -> DataFrame:
     first = texts.select("rid", "text").mapInArrow(_places, PLACES).select("pid", "rid").join(_maybe_broadcast(wanted), "pid").groupBy("pid").agg(F.min("rid").alias("rid"))
     want = first.groupBy("rid").agg(F.collect_list("pid").alias("want"))
     sets = texts.select("rid", "text").join(want, "rid").select("text", "want").mapInArrow(_sets, "pid long, shingles array<long>").dropDuplicates(["pid"])
-    verified = found.join(sets, "pid").select("key", "pid", "shingles").repartition(n, "key").sortWithinPartitions("key", "pid").mapInArrow(_verify, "a long, b long")
+    verified = found.join(sets, "pid").select("key", "pid", "shingles").repartition(n, "key").sortWithinPartitions("key", "pid").mapInArrow(_verifier(), "a long, b long")
     return components(verified, "paragraph-links")
 
 

@@ -8,10 +8,13 @@ blocks that are compared in full. A part that no radius can divide is peeled bal
 distance of a centre are one component with it, so only those and the ring up to twice the distance are compared.
 
 Work is on distinct fingerprints; copies cost nothing. Each shard returns a star of links per component it found, never
-all pairs, and the components over all shards are computed by `components`.
+all pairs, and the components over all shards are computed by `components`. Each level of the tree leaves about `CHILD` of its
+fingerprints on the larger side, copies at the border included; the depth is chosen so that shards hold `SHARD` at any size. A part
+that no radius divides is one shard, whatever its size: fingerprints that all lie as near to each other as the links.
 
-Defined results: null or blank text has fingerprint zero, linked like any other. component_id is the smallest doc_id of
-the component; null where all its ids are null. Repeated rows each get their row. Extra columns are ignored.
+Defined results: null, empty or blank text has fingerprint zero, linked like any other; very long texts are read whole. component_id is
+the smallest doc_id of the component; null where all its ids are null. Repeated rows each get their row; an empty table gives
+none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from .components import components, local
 
 NEAR, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints per shard aimed at, sampled per shard, and compared in full.
-SHARD, SAMPLED, BLOCK = 50_000, 32, 256
+SHARD, SAMPLED, BLOCK = 20_000, 32, 256
+#: Share of a node's fingerprints that its larger side holds, copies included, for fingerprints without structure.
+CHILD = 0.64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,11 +64,16 @@ def simhash(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     n = len(offsets) - 1
     data, start, end, row = shingles(buf, offsets)
-    out = np.zeros(n, np.uint64)
-    if not len(start):
-        return out
     digest = xxhash.xxh64_digest
     h = np.frombuffer(b"".join([digest(data[a:b], SEED) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), ">u8").astype(np.uint64)
+    return majority(h, row, n)
+
+
+def majority(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the bits set in over half of its hashes; h is in order of row, rows without hashes are zero."""
+    out = np.zeros(n, np.uint64)
+    if not len(h):
+        return out
     head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     total = np.diff(np.r_[head, len(row)])
     place = np.arange(len(row)) - np.repeat(head, total)
@@ -227,8 +237,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pair_links(points: DataFrame, count: int) -> DataFrame:
     """Links (a, b) of the distinct prints: enough of them to span every component, none between unlinked prints."""
     spark = points.sparkSession
-    wanted = max(1, -(-count // SHARD))
-    depth = int(np.ceil(np.log2(wanted)))
+    depth = int(np.ceil(np.log(max(1.0, count / SHARD)) / -np.log(CHILD)))
     share = min(1.0, SAMPLED * (1 << depth) / max(1, count))
     unit = F.pmod(F.xxhash64(F.col("print"), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
     sample = np.array([r[0] for r in points.where(unit < share).select("print").collect()], np.int64) if depth else np.zeros(0, np.int64)  # SAMPLED rows per shard
@@ -260,9 +269,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; one row even where ids repeat or are null.
+    """The document with the smallest id of each group of near copies.
 
-    Near copies are those of `near`, by Jaccard similarity; the 3 bits of the query miss most of them.
+    Near copies are those of `near`: texts linked by fingerprints of 5-word shingles or by bands, verified by exact Jaccard
+    similarity. Rows with a null id come after all others. One row stays even where ids and texts
+    repeat; null and blank texts are one group; an empty table stays empty; extra columns go.
     """
     from . import near
 
