@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tremorline.llm import langid as M
 from tremorline.llm import registered
@@ -52,18 +53,63 @@ def test_held_out_accuracy_and_split(spark, sf):
     assert np.mean(right) > 0.95
 
 
-def test_scores_match_dense_naive_bayes(spark, sf):
+def slow_bayes(docs):
+    """Languages, log priors and log probabilities by bin, counted with dictionaries."""
+    langs, counts, size = sorted({d.lang for d in docs}), {}, Counter(d.lang for d in docs)
+    for d in docs:
+        counts.setdefault(d.lang, Counter()).update(grams(d.text))
+    total = {x: sum(c.values()) + 0.5 * 2**M.BITS for x, c in counts.items()}
+    return langs, {x: math.log(size[x] / len(docs)) for x in langs}, {x: lambda b, x=x: math.log((counts[x][b] + 0.5) / total[x]) for x in langs}
+
+
+def test_predictions_are_the_naive_bayes_argmax(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
-    langs, prior, table = M.fit(docs)
-    texts = [r.text for r in docs.collect()][:10]
-    best, score = M.score(texts, prior, table)
-    for t, b, s in zip(texts, best, score):
-        g = grams(t)
-        n = sum(g.values())
-        logit = [p + sum(c * float(table[k][x]) for x, c in g.items()) * min(1, M.EVIDENCE / n) for k, p in enumerate(prior)]
+    model = M.fit(docs)
+    langs, prior, prob = slow_bayes(docs.collect())
+    assert model[0] == langs
+    texts = [r.text for r in docs.collect()][:10] + ["der the le la", "x"]
+    for t, b, s, g in zip(texts, *M.score(texts, model[1], model[2])):
+        c = grams(t)
+        n = sum(c.values())
+        like = [sum(k * prob[x](i) for i, k in c.items()) for x in langs]
+        logit = [prior[x] + v for x, v in zip(langs, like)]
         top = max(logit)
-        assert langs[b] == langs[int(np.argmax(logit))]
-        assert math.isclose(s, 1 / sum(math.exp(x - top) for x in logit), rel_tol=1e-6)
+        assert langs[b] == langs[logit.index(top)]
+        assert math.isclose(s, 1 / sum(math.exp((x - top) * min(1, M.EVIDENCE / n)) for x in logit), rel_tol=1e-5)
+        assert math.isclose(g, like[b] / n, rel_tol=1e-5)
+
+
+def test_prior_does_not_outweigh_a_long_text():
+    """Two classes, one with a prior of e**9 to 1: 18 nats of text decide."""
+    table = np.full((2, 1 << M.BITS), -10.0, np.float32)
+    text = "a" * 181  # 181 + 182 + 181 n-grams
+    n = sum(len(b) for b in M.features([text])[0])
+    table[1] += np.float32(18 / n)
+    best, score, _ = M.score([text], np.array([0.0, -9.0]), table)
+    assert best[0] == 1 and 0.5 < score[0] < 1
+
+
+def test_letters_of_all_planes():
+    assert [bool(x) for x in M.features([chr(0x30001), "\U0001f600", "1", chr(0x2A6D6)])[2]] == [True, False, False, True]
+
+
+def test_stage_rejects_junk_and_wrong_labels(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = {(r.lang): r.text for r in docs.where("length(text) > 400").collect()}
+    rows = [
+        (900001, known["en"], "de"), (900002, known["fr"], "en"), (900003, "\u4e00\u9fa5\u6c49" * 60, "en"), (900004, "\u0436\u0449\u044a\u044d " * 60, None),
+        (900005, "*** 123 $$$", "en"), (900006, known["en"], "en"), (900007, known["fr"], None), (905008, known["de"], "xx"), (900009, None, "en"), (900010, "", "en"),
+    ]
+    more = spark.createDataFrame([(i, t, lang, "src0", len(t or "")) for i, t, lang in rows], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    got = {r.doc_id for r in M.filter_stage(spark, docs.select(more.columns).unionByName(more), sf).collect()}
+    assert {i for i in got if i > 900000} == {900006, 900007, 905008}  # the last is held out, so its label is not learned
+    assert len(got) >= 0.99 * docs.count()
+
+
+def test_too_many_languages_raise_before_collecting(spark):
+    docs = spark.range(M.MAX_LANGS + 1).selectExpr("id doc_id", "'some text' text", "'l' || id lang")
+    with pytest.raises(ValueError, match="languages"):
+        M.fit(docs)
 
 
 def test_odd_rows(odd_docs, no_docs):

@@ -24,12 +24,16 @@ def stages(spark, sf, tmp_path_factory):
     return dict(zip([n for n, _ in P.STAGES], out))
 
 
-def test_language_stage_keeps_identified_documents(stages):
+def test_language_stage_keeps_documents_of_known_and_labelled_languages(stages):
     before, after, docs = stages["language_id"]
-    model = langid.fit(docs.withColumn("h", langid.held_out()).where("not h"))
+    names, prior, table = langid.fit(docs.withColumn("h", langid.held_out()).where("not h"))
     ids = sorted(before)
-    best, score = langid.score([before[i].text or "" for i in ids], model[1], model[2])
-    assert set(after) == {i for i, b, s in zip(ids, best, score) if b >= 0 and s >= 0.5}
+    want = set()
+    for i, b, s, g in zip(ids, *langid.score([before[i].text or "" for i in ids], prior, table)):
+        wrong = before[i].lang in names and before[i].lang != names[b] and s >= 0.9
+        if b >= 0 and s >= 0.5 and g > 1 - 16 * np.log(2) and not wrong:
+            want.add(i)
+    assert set(after) == want
     assert all(after[i] == before[i] for i in after)
 
 

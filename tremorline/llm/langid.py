@@ -1,14 +1,20 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Text is lower-cased and everything but letters becomes one space, so that features are the 1- to 3-grams of words and
-their borders, hashed to `2**BITS` bins. Fitting counts bins per language over at most `per_lang` labelled documents of
+their borders, hashed to `2**BITS` bins. Fitting counts bins per language over about `per_lang` labelled documents of
 each language (chosen by a hash of doc_id; the bound is the documented parameter). The log-probability matrix, of
-languages x 2**BITS floats, is broadcast; scoring is a gather and a segmented sum per language over whole texts.
-
-Prediction reads the text alone. Result per row: lang_pred, a learned language, or `und` with score 0 where the text is
-null or has no letter, or where nothing could be learned; score, the posterior of the prediction, with the evidence of
-texts longer than `EVIDENCE` n-grams scaled down to that many, so that long mixed texts are not all scored 1.
-Ties go to the language first in alphabetical order. Rows with a null doc_id are scored and never learned from.
+languages x 2**BITS floats, is broadcast: at most `MAX_LANGS` languages, checked before anything is collected, so 64 MB.
+Scoring is a gather and a segmented sum per language over whole texts.
+
+Prediction reads the text alone. Result per row: lang_pred, the learned language with the largest sum of log prior and log
+probabilities, or `und` with score 0 where the text is null or has no letter, or where nothing could be learned; score, the
+posterior of the prediction with the logarithms of texts longer than `EVIDENCE` n-grams scaled down to that many: overlapping n-grams are
+far from independent, so the plain posterior of any long text is 1; and per_gram, the mean log probability of an n-gram in that language.
+Ties go to the language first in alphabetical order. Rows with a null doc_id are scored and never learned from, nor are rows with
+a null lang; repeated rows each get a row; very long texts are read whole; an empty table gives none; extra columns are ignored.
+
+The stage `filter_stage` rejects documents that are `und`, whose n-grams are hardly more likely in their best language than a uniform draw of bins (`FIT`), that are
+undecided between languages, or whose label is a learned language and contradicts a sure prediction.
 """
 
 from __future__ import annotations
@@ -22,15 +28,19 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as K
 
 BITS, GRAMS, EVIDENCE = 16, 3, 60
-MAX_LANGS = 2048
+MAX_LANGS = 256
 PER_LANG = 2500
+#: Mean log probability of an n-gram drawn uniformly from the bins.
+UNIFORM = -BITS * float(np.log(2))
+#: Documents whose n-grams are not at least so likely, on average, in their best language are in none that is known.
+FIT = UNIFORM + 1.0
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _alpha: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
     if not _alpha:
-        _alpha.append(np.array([chr(i).isalpha() for i in range(0x30000)] + [False]))
+        _alpha.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _alpha[0]
 
 
@@ -39,7 +49,7 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.n
     low = [t.lower() for t in texts]
     sizes = np.array([len(t) for t in low], np.int64)
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(code, 0x30000)]
+    letter = _letters()[code]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one space after each word
     first = np.r_[0, np.cumsum(sizes)]
@@ -99,33 +109,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(v[at].astype(np.int64))], names=["lang", "bin", "n"])
 
 
+def _row_of_log_probabilities(key: tuple, table: pa.Table) -> pa.Table:
+    counts = np.full(1 << BITS, 0.5)
+    np.add.at(counts, table.column("bin").to_numpy(), table.column("n").to_numpy())
+    return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "row": pa.array([np.log(counts / counts.sum()).astype("<f4").tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, log probabilities [languages, bins]) from the labelled rows of (doc_id, text, lang)."""
     K.ship(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    counted = K.saved(known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")), "langs")
+    sizes = {r["lang"]: r["docs"] for r in counted.limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
-        raise ValueError(f"{len(sizes)} languages; the broadcast model is bounded to {MAX_LANGS}")
-    if not sizes:
+        raise ValueError(f"more than {MAX_LANGS} languages, to which the broadcast model is bounded")
+    langs = sorted(sizes)
+    if not langs:
         return [], np.zeros(0), np.zeros((0, 1 << BITS), np.float32)
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        if n > per_lang:
-            share = F.when(F.col("lang") == lang, per_lang / n).otherwise(share)
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(unit < share).select("lang", "text").mapInArrow(_count, "lang string, bin long, n long")
-    langs = sorted(sizes)
-    counts = np.zeros((len(langs), 1 << BITS))
-    got = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()  # at most languages x bins rows
-    where = {x: i for i, x in enumerate(langs)}
-    counts[got["lang"].map(where).to_numpy(int), got["bin"].to_numpy(int)] = got["n"].to_numpy()
+    drawn = known.join(F.broadcast(counted), "lang").where(unit * F.col("docs") < per_lang)
+    rows = drawn.select("lang", "text").mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    got = {r["lang"]: np.frombuffer(r["row"], "<f4") for r in rows.groupBy("lang").applyInArrow(_row_of_log_probabilities, "lang string, row binary").collect()}  # a row per language
+    flat = np.full(1 << BITS, UNIFORM, np.float32)
     prior = np.array([sizes[x] for x in langs], float)
-    smooth = counts + 0.5
-    return langs, np.log(prior / prior.sum()), np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+    return langs, np.log(prior / prior.sum()), np.stack([got.get(x, flat) for x in langs])
 
 
-def score(texts: list[str], prior: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best language (-1: none) and its posterior, for each text."""
+def score(texts: list[str], prior: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the best language (-1: none), its scaled posterior and the mean log probability of an n-gram in it, for each text."""
     bins, starts, has = features(texts)
     total, grams = np.zeros((len(texts), len(prior))), np.zeros(len(texts))
     for b, s in zip(bins, starts, strict=True):
@@ -133,16 +144,16 @@ def score(texts: list[str], prior: np.ndarray, table: np.ndarray) -> tuple[np.nd
         for k in range(len(prior)):
             total[:, k] += _sums(table[k][b], s)
     if not len(prior):
-        return np.full(len(texts), -1), np.zeros(len(texts))
-    total = prior + total * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None]
-    p = np.exp(total - total.max(axis=1, keepdims=True))
+        return np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), np.nan)
+    logit = prior + total
+    best, rows = logit.argmax(axis=1), np.arange(len(texts))
+    p = np.exp((logit - logit.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / np.maximum(grams, 1))[:, None])
     p /= p.sum(axis=1, keepdims=True)
-    best = p.argmax(axis=1)
-    return np.where(has, best, -1), np.where(has, p[np.arange(len(texts)), best], 0.0)
+    return np.where(has, best, -1), np.where(has, p[rows, best], 0.0), np.where(has, total[rows, best] / np.maximum(grams, 1), np.nan)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs with lang_pred and score, in one narrow pass over whole texts."""
+    """Columns `keep` of docs with lang_pred, score and per_gram (null for `und`), in one narrow pass over whole texts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -152,23 +163,24 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
     src = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     held = [f"_{i}" for i in range(len(keep))]
     final = src.select(*held).schema
-    arrow = to_arrow_schema(final).append(pa.field("_pred", pa.string())).append(pa.field("_score", pa.float64()))
-    spec = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in final] + ["_pred string", "_score double"])
+    arrow = to_arrow_schema(final).append(pa.field("_pred", pa.string())).append(pa.field("_score", pa.float64())).append(pa.field("_gram", pa.float64()))
+    spec = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in final] + ["_pred string", "_score double", "_gram double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p, t = shared.value
         for batch in batches:
             texts = [x or "" for x in batch.column("_text").to_pylist()]
-            best, value = [], []
+            best, value, gram = [], [], []
             for i, j in _blocks(texts):
-                b, v = score(texts[i:j], p, t)
+                b, v, g = score(texts[i:j], p, t)
                 best += [langs[k] if k >= 0 else "und" for k in b.tolist()]
                 value.append(v)
-            arrays = [batch.column(c) for c in held] + [pa.array(best, pa.string()), pa.array(np.concatenate(value) if value else np.zeros(0))]
+                gram.append(g)
+            arrays = [batch.column(c) for c in held] + [pa.array(best, pa.string()), *[pa.array(np.concatenate(x) if x else np.zeros(0), from_pandas=True) for x in (value, gram)]]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
 
     out = src.mapInArrow(run, spec)
-    return out.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], F.col("_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_gram").alias("per_gram"))
 
 
 def held_out():
@@ -177,15 +189,27 @@ def held_out():
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; learned from the two thirds that are not held out."""
+    """doc_id, held_out, lang_pred, score and per_gram of every document; learned from the two thirds that are not held out."""
     base = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = fit(base.where(~F.col("held_out")), per_lang)
     return predict(base, model, ["doc_id", "held_out"])
 
 
-def filter_stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Documents with a language the model knows and is sure enough of; rejected ones go."""
+def accepted(langs: list[str], least: float, sure: float):
+    """Whether a scored row (lang, lang_pred, score, per_gram) is a document in a known language, and in the one it is labelled with."""
+    contradicted = F.col("lang").isin(langs) & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= sure)
+    return (F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("per_gram") > FIT) & ~F.coalesce(contradicted, F.lit(False))
+
+
+def filter_stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5, sure: float = 0.9) -> DataFrame:
+    """Documents in a language the model knows; the rejected go.
+
+    Rejected: null, empty and letterless texts; texts that fit no known language (`FIT`);
+    scores below `least`; labels of a learned language against a prediction of score `sure` or more. Rows with a null or
+    unknown label are judged by their text alone, rows with a null id like any other; repeated rows stay repeated; where nothing can be learned
+    all go; an empty table stays empty; extra columns go.
+    """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     base = docs.select(*columns).withColumn("_held", held_out())
-    scored = predict(base, fit(base.where("not _held")), columns)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*columns)
+    model = fit(base.where("not _held"))
+    return predict(base, model, columns).where(accepted(model[0], least, sure)).select(*columns)
