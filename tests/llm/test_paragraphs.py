@@ -32,10 +32,9 @@ def paragraphs_of(text):
     buf, offsets = K.pack([text.encode()])
     u = M.Units(buf, offsets)
     pair = [int(u.over(np.array([i]), np.array([i + 2]))[0]) for i in range(len(w) - 1)]
-    bits = max(20, len(w).bit_length())
     cuts = {0}
     for s in range(len(pair) - M.WINDOW + 1):
-        cuts.add(min(range(s, s + M.WINDOW), key=lambda i: (pair[i] >> bits, i)))
+        cuts.add(min(range(s, s + M.WINDOW), key=lambda i: (pair[i] >> 32, i)))
     edges = [*sorted(cuts), len(w)]
     return [(a, tuple(w[a:b])) for a, b in zip(edges, edges[1:]) if b - a >= M.LEAST]
 

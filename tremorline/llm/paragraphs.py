@@ -8,16 +8,19 @@ line breaks fall. Paragraphs of at least `LEAST` words take part, as sets of 5-w
    two or more distinct paragraphs are kept.
 2. The shingle sets of those paragraphs are fetched and each key's paragraphs verified by exact Jaccard similarity of
    `SIMILAR` or more. In a large group only members that share a rare shingle are compared (see `filtered`), and large lists of
-   such members are peeled ball by ball, for Jaccard distance is a metric (see `linked`); neither loses a link.
-3. Verified links are clustered by components; equal paragraphs are one from the start. In each cluster the first
-   occurrence (smallest document, earliest word) stays and the others are repeats.
-4. Each repeat is extended word by word in both directions while its text equals that around the occurrence that stays, up to `REACH`
-   words a side: over pieces too short to take part, and to the passage's ends inside pieces that reach past it.
+   such members are peeled ball by ball, for Jaccard distance is a metric (see `linked`); neither loses a link. All distinct paragraphs
+   of a key are in one task, so a key's variants are bounded by an executor's memory; copies of a paragraph are one from the start.
+3. Verified links are clustered by components. In each cluster the first occurrence (smallest document, earliest word) stays and the
+   others are repeats.
+4. Each repeat is extended in both directions, up to `REACH` words a side, while its words equal those around the occurrence that stays: over
+   pieces too short to take part, and to the passage's ends inside pieces that reach past it. It goes on over changed, added and dropped
+   words where `SHINGLE` equal ones follow and the whole repeat keeps an exact Jaccard similarity of `SIMILAR` (see `alike`), so an edited
+   passage goes as one and not in fragments.
 5. Extended repeats that adjoin in a document form runs; runs of at least `RUN` words are removed. Shorter ones, such as a
    common line, stay. A passage none of whose pieces takes part whole is missed.
 
-Defined results: null and blank texts have no paragraphs. Rows with the same doc_id and text are one document; ids that repeat with
-different texts or are null are ordered as in `substrings`. Extra columns are ignored.
+Defined results: null, empty and blank texts have no paragraphs; very long texts are read whole. Rows with the same doc_id and text are one
+document; ids that repeat with different texts or are null are ordered as in `substrings`. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +34,16 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from . import textkit as K
 from .components import components, local
 from .simhash import _LOWER
-from .substrings import _ranked, _sliding_min
+from .substrings import PLACE, _ranked, _sliding_min
 
-WINDOW, LEAST, SHINGLE, RUN = 24, 8, 5, 16
+WINDOW, LEAST, SHINGLE, RUN = 16, 8, 5, 16
 BANDS, ROWS, SIMILAR = 5, 3, 0.8
 #: Groups of at most so many paragraphs are compared pair by pair, all in one step; larger ones are filtered and peeled.
 PAIRED = 48
 #: Words that a repeat is extended by on each side; equal text further on has paragraphs of its own.
 REACH = 64
+#: Words passed over on either side where a repeat differs: one changed, added or dropped first, then two, then unequal numbers.
+STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 0), (0, 2), (2, 1), (1, 2), (3, 3))
 #: Shingles of whole keys that one step verifies, about.
 HELD = 400_000
 #: Shingles that one step of exact similarities compares, about.
@@ -64,9 +69,8 @@ class Units:
         cut = head.copy()
         if n >= WINDOW + 1:
             pair = self.over(np.arange(n - 1), np.arange(2, n + 1))
-            bits = np.uint64(max(20, n.bit_length()))
-            least = _sliding_min(pair >> bits << bits | np.arange(n - 1, dtype=np.uint64), WINDOW)
-            at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            least = _sliding_min(pair >> PLACE << PLACE | np.arange(n - 1, dtype=np.uint64), WINDOW)
+            at = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
             first = np.arange(len(at))
             cut[at[self.word_row[first] == self.word_row[first + WINDOW]]] = True  # the window and its last pair lie in one text
         self.begin = np.flatnonzero(cut)
@@ -375,24 +379,58 @@ def _same(h: np.ndarray, want: np.ndarray) -> int:
     return int(np.argmax(differ)) if differ.any() else n
 
 
+def _shingle_set(h: np.ndarray) -> set:
+    """Shingles that end in h, which follows SHINGLE - 1 words that both sides share."""
+    x = [-1, -2, -3, -4, *h.tolist()][-(len(h) + SHINGLE - 1) :]
+    return {tuple(x[i : i + SHINGLE]) for i in range(len(h))}
+
+
+def alike(h: np.ndarray, want: np.ndarray, lead: int) -> tuple[int, int]:
+    """How many words at the heads of h and of want continue a repeat of `lead` equal words.
+
+    Equal words always do. After words that differ, `SHINGLE` equal ones or more do, if the repeat as a whole, its lead included, keeps
+    a Jaccard similarity of SIMILAR.
+    """
+    i = j = _same(h, want)
+    while i < len(h) and j < len(want):
+        ways = ((i + x, j + y, _same(h[i + x :], want[j + y :])) for x, y in STEPS)
+        found = next((w for w in ways if w[2] >= SHINGLE), None)
+        if found is None:
+            break
+        x, y = found[0] + found[2], found[1] + found[2]
+        a, b, inside = _shingle_set(h[:x]), _shingle_set(want[:y]), max(0, lead - SHINGLE + 1)
+        both = len(a & b) + inside
+        if both < SIMILAR * (len(a) + len(b) + 2 * inside - both):
+            break
+        i, j = x, y
+    return i, j
+
+
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The removed spans of each text: its repeats extended, disjoint, in runs of at least RUN words."""
     for batch in batches:
         out: list[tuple] = []
         rids, pieces = batch.column("rid").to_pylist(), batch.column("pieces")
         for r, h, a, b in _word_hashes(batch):
-            h, found, spans, at = h.view(np.int64), sorted(pieces[r].as_py(), key=lambda p: p["word"]), [], 0
-            for p, after in zip(found, [*[q["word"] for q in found[1:]], len(h)], strict=True):
+            h, found, spans, at, begin = h.view(np.int64), sorted(pieces[r].as_py(), key=lambda p: p["word"]), [], 0, 0
+            ends = [p["word"] + p["words"] for p in found]
+            stop = ends[-1:]  # where the run of whole pieces that each piece is in ends
+            for p, q in zip(found[-2::-1], found[:0:-1], strict=True):
+                stop.append(stop[-1] if p["word"] + p["words"] == q["word"] else p["word"] + p["words"])
+            for p, after, last in zip(found, [*[q["word"] for q in found[1:]], len(h)], stop[::-1], strict=True):
                 i, j = p["word"], p["word"] + p["words"]
-                left = min(_same(h[:i][::-1][:REACH], np.array(p["before"] or [], np.int64)), i - at)
-                right = min(_same(h[j : j + REACH], np.array(p["after"] or [], np.int64)), after - j)
-                spans.append((i - left, j + right, p, left))
+                left, back = alike(h[:i][::-1][:REACH], np.array(p["before"] or [], np.int64), last - i)
+                back -= max(0, left - (i - at))
+                left = min(left, i - at)
+                begin = begin if spans and spans[-1][1] == i - left else i - left
+                right = min(alike(h[j : j + REACH], np.array(p["after"] or [], np.int64), j - begin)[0], after - j)
+                spans.append((i - left, j + right, p, back))
                 at = j + right
             head = [k for k, s in enumerate(spans) if not k or spans[k - 1][1] != s[0]]
             for run, (x, y) in enumerate(zip(head, [*head[1:], len(spans)], strict=True)):
                 size = spans[y - 1][1] - spans[x][0]
-                for s, e, p, left in spans[x:y] if size >= RUN else []:
-                    out.append((rids[r], int(a[s]), int(b[e - 1]), e - s, p["cluster"], p["first_rid"], p["before_a"][left - 1] if left else p["first_a"], size, run))
+                for s, e, p, back in spans[x:y] if size >= RUN else []:
+                    out.append((rids[r], int(a[s]), int(b[e - 1]), e - s, p["cluster"], p["first_rid"], p["before_a"][back - 1] if back > 0 else p["first_a"], size, run))
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         columns = list(zip(*out, strict=True)) or [[]] * 9
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["rid", "a", "b", "words", "cluster", "first_rid", "first_a", "run_words", "run"])
@@ -444,7 +482,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their removed runs of paragraphs; n_chars is that of the text left."""
+    """The documents without their removed runs of paragraphs; n_chars is that of the text left.
+
+    Every document stays, if only with an empty text; null texts stay null, rows with equal ids and texts lose the same runs, an empty table
+    stays empty and extra columns go.
+    """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     K.ship(docs.sparkSession)
     texts = _ranked(docs.select(*columns))

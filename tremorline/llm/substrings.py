@@ -35,6 +35,8 @@ from . import textkit as K
 WIDTH, GRAM = 100, 24
 HOT, SALT, SAMPLE = 50_000, 64, 64
 TILE = 1 << 22
+#: Bits of a key that hold its place, in buffers of any length: the others, of its hash, choose the least, so equal texts choose alike everywhere.
+PLACE = np.uint64(32)
 
 
 def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -55,9 +57,8 @@ def runs(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.uint64), z.astype(np.uint64)
     gram = K.Ranges(buf).window(GRAM)
-    bits = np.uint64(max(20, n.bit_length()))
-    least = _sliding_min(gram >> bits << bits | np.arange(len(gram), dtype=np.uint64), WIDTH - GRAM + 1)
-    at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    least = _sliding_min(gram >> PLACE << PLACE | np.arange(len(gram), dtype=np.uint64), WIDTH - GRAM + 1)
+    at = (least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     good = np.ones(n - WIDTH + 1, bool)
     ends = np.unique(offsets[1:])
     bad = K.ranges(np.maximum(ends - WIDTH + 1, 0), ends - np.maximum(ends - WIDTH + 1, 0))
