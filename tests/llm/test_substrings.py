@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tremorline.llm import registered
@@ -88,3 +89,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in M.dedup(twice).collect()}
     assert got[None, 300] == 270  # all but the first period
     assert got[4, 300] == 300 and got[4, 301] == 300
+
+
+def test_periodic_texts_send_few_runs(spark):
+    """Long texts of one letter, of a short and of a long period: a run of each content, not one of each byte."""
+    rng = np.random.default_rng(2)
+    long = "".join(rng.choice(list("abcdefgh "), 700))
+    texts = ["a" * 200_000, "ab " * 60_000, long * 300]
+    for t in texts:
+        sent = sum(b.num_rows for b in M._runs(iter([pa.RecordBatch.from_arrays([pa.array([7]), pa.array([t])], names=["rid", "text"])])))
+        assert sent < 2000, sent
+    rows = [(i, t) for i, t in enumerate([*texts, "a" * 150, long[:300], "b" + "a" * 99])]
+    assert sorted(tuple(r) for r in M.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == slow(rows)
+
+
+def test_gram_choice_does_not_depend_on_the_buffer():
+    """The same window chooses the same gram inside a short text and inside a long one."""
+    rng = np.random.default_rng(9)
+    long = rng.integers(97, 123, 3_000_000).astype(np.uint8)
+    at = 2_500_000
+    short = long[at : at + 5000]
+    gram = [dict(zip(s.tolist(), g.tolist())) for s, _, g, _ in (M.runs(x, np.array([0, len(x)])) for x in (short, long))]
+    same = [s for s in gram[0] if s and s + at in gram[1]]
+    assert len(same) >= len(gram[0]) - 2 and all(gram[0][s] == gram[1][s + at] for s in same)

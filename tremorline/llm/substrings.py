@@ -5,20 +5,22 @@ one). Suffixes are ordered only through WIDTH bytes, and groups still equal at t
 
 1. The most significant digit. Each WIDTH-byte window is keyed by its least `GRAM`-byte gram (by hash, leftmost first),
    which equal windows share. Neighbouring windows with the same gram at the same place form a run, about one per 38
-   bytes of text; only (gram, hash of the run's bytes, place) is shuffled. Runs with equal bytes are repeats
-   of the first of them, whole; a run whose gram occurs with no other bytes has no repeats.
+   bytes of text; only (gram, hash of the run's bytes, place) is shuffled, and of a document's runs with equal bytes only the first: the
+   others repeat it. Runs with equal bytes are repeats of the first of them, whole; a run whose gram occurs with no other bytes has
+   no repeats. Equal means equal in two 64-bit hashes by different bases, of the gram and of the run: bytes are not compared here.
 2. The remaining digits. For runs that share a gram but not their bytes, and only those, the bytes are fetched and their windows
    sorted by 8-byte digits, most significant first, groups of one leaving after each pass.
 3. Repeated windows of each document are merged to spans and cut from its text.
 
-Hot grams: a 1/64 sample of documents estimates how many runs a gram has. Runs of a gram above `HOT` are dealt by
+Hot grams: a 1/64 sample of documents estimates how many runs a gram has; a document sends a gram once for each of its contents, so only
+many documents make a gram hot. Runs of a gram above `HOT` are dealt by
 (gram, bytes, salt) instead of by gram, and their windows are decided by a partial aggregate (the least place of each 128-bit
 window hash) joined back, so no task holds all runs of a common passage. The sample only chooses the way; both are exact up
-to collisions of 64-bit hashes of runs.
+to collisions of hashes.
 
 Defined results: null text is empty; matches never cross documents. Rows with the same doc_id and text are one
 document, and each gets its result. Where ids repeat with different texts or are null, documents are ordered by id (null first), then a hash of
-the text. Extra columns are ignored.
+the text. Very long texts are read whole, in overlapping tiles; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,15 +85,32 @@ def _tiles(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.
             yield i, t - a, buf[t:e], np.array([0, e - t])
 
 
+def _again(row: np.ndarray, gram: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Which runs, in order of place, have the bytes of an earlier one of their row."""
+    key = K.mix(full + row.astype(np.uint64) * np.uint64(K.BASES[0]))
+    order = np.argsort(key, kind="stable")
+    k, g = key[order], gram[order]
+    out = np.zeros(len(row), bool)
+    out[order[1:]] = (k[1:] == k[:-1]) & (g[1:] == g[:-1])
+    return out
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs that are the first of their document with their bytes; and, as ~loc with gram 0, runs of windows that repeat such ones."""
     for batch in batches:
         buf, offsets, _ = K.flat(batch.column("text"))
         rid = batch.column("rid").to_numpy()
         for first, place, part, ends in _tiles(buf, offsets):
             start, count, gram, full = runs(part, ends)
             row = K.rows_of(ends, start)
-            loc = (start - ends[row] + place) << 8 | count
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(full.view(np.int64)), pa.array(rid[first + row]), pa.array(loc)], names=["gram", "full", "rid", "loc"])
+            at, owner = start - ends[row] + place, rid[first + row]
+            again = _again(row, gram, full)
+            new = ~again
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), pa.array(full[new].view(np.int64)), pa.array(owner[new]), pa.array(at[new] << 8 | count[new])], names=["gram", "full", "rid", "loc"])
+            if again.any():
+                late = _marks(np.repeat(owner[again], count[again]), K.ranges(at[again], count[again]))
+                zero = pa.array(np.zeros(late.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([zero, zero, late.column("rid"), pa.array(~late.column("loc").to_numpy())], names=["gram", "full", "rid", "loc"])
 
 
 def _decider(hot: np.ndarray):
@@ -116,6 +135,13 @@ def _decider(hot: np.ndarray):
             if not batch.num_rows:
                 continue
             now = [batch.column(c).to_numpy() for c in ("gram", "full", "rid", "loc")]
+            late = now[3] < 0  # decided within its document
+            if late.any():
+                n = int(late.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(now[2][late]), pa.array(~now[3][late]), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))], names=["rid", "loc", "kind", "gram"])
+                now = [x[~late] for x in now]
+                if not len(now[0]):
+                    continue
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0  # the last gram may go on
@@ -256,7 +282,7 @@ def _ranked(docs: DataFrame) -> DataFrame:
 
 def _hot(texts: DataFrame, hot: int) -> np.ndarray:
     """Grams with more than `hot` runs, and more than a quarter of a partition's, by a 1/64 sample of documents."""
-    found = texts.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("rid", "text").mapInArrow(_runs, "gram long, full long, rid long, loc long")
+    found = texts.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("rid", "text").mapInArrow(_runs, "gram long, full long, rid long, loc long").where("loc >= 0")
     counts = K.saved(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sampled-grams")
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(hot, total * SAMPLE // (4 * K.partitions(texts.sparkSession))) / SAMPLE
@@ -274,6 +300,7 @@ def marks(texts: DataFrame, hot: int = HOT) -> DataFrame:
         listed = F.broadcast(spark.createDataFrame([(int(x), True) for x in common], "gram long, common boolean"))
         rows = rows.join(listed, "gram", "left")
         deal = F.when(F.col("common"), F.xxhash64("gram", "full", F.pmod(F.xxhash64("rid"), F.lit(SALT)))).otherwise(deal)
+    deal = F.when(F.col("loc") < 0, F.xxhash64("rid", "loc")).otherwise(deal)
     rows = rows.withColumn("deal", F.pmod(deal, F.lit(n)).cast("int")).select("deal", "gram", "full", "rid", "loc")
     dealt = rows.repartitionById(n, "deal").sortWithinPartitions("gram", "full", "rid", "loc").select("gram", "full", "rid", "loc")
     decided = K.saved(dealt.mapInArrow(_decider(common), "rid long, loc long, kind int, gram long"), "decided")
