@@ -20,25 +20,59 @@ def test_against_sql(spark, sf):
         assert g[:3] == w[:3] and g[5] == w[5] and g[3:5] == pytest.approx(w[3:5], abs=2e-9)
 
 
-def test_marginals_and_sample(spark, sf):
+def slow_rake(cells, share, powers=M.POWERS, rounds=M.ROUNDS):
+    """cells: (source, lang, topic) -> tokens; probabilities by the definition."""
+    total, p = sum(cells.values()), dict.fromkeys(cells, share)
+    targets = []
+    for i, power in enumerate(powers.values()):
+        size = defaultdict(float)
+        for c, n in cells.items():
+            size[c[i]] += n
+        whole = sum(n**power for n in size.values())
+        targets.append({k: share * total * n**power / whole for k, n in size.items()})
+    for _ in range(rounds):
+        for i, target in enumerate(targets):
+            now = defaultdict(float)
+            for c, n in cells.items():
+                now[c[i]] += n * p[c]
+            p = {c: min(1.0, p[c] * target[c[i]] / now[c[i]]) if now[c[i]] > 0 else p[c] for c in p}
+    return p, targets
+
+
+def test_probabilities_and_sample(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = M.probabilities(docs).collect()
-    total = sum(r._tokens for r in rows)
-    for name, power in M.POWERS.items():
-        have, want = defaultdict(float), defaultdict(float)
-        for r in rows:
-            have[r[f"_{name}"]] += r._tokens * r._weight
-            want[r[f"_{name}"]] += r._tokens
-        scale = sum(v**power for v in want.values())
-        for k, v in want.items():
-            assert have[k] == pytest.approx(total * v**power / scale, rel=0.02)
-    assert max(r._probability for r in rows) == 1.0
-    expected, got = sum(r._probability for r in rows), sum(r._sampled for r in rows)
-    assert abs(expected - got) < 4 * expected**0.5
+    cells = defaultdict(int)
+    for r in rows:
+        cells[r._source, r._lang, r._topic] += r._tokens
+    want, targets = slow_rake(cells, M.SHARE)
     for r in rows:
+        assert r._probability == pytest.approx(want[r._source, r._lang, r._topic], rel=1e-9)
         assert r._tokens == len(re.findall(r"[^ \t\n\x0b\f\r]+", texts[r.doc_id]))
         assert r._sampled == (int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) / 2**32 < r._probability)
+    expected, got = sum(r._probability for r in rows), sum(r._sampled for r in rows)
+    assert abs(expected - got) < 4 * expected**0.5
+    reached = {(r.margin, r.category): r.expected for r in M.marginals(docs).collect()}
+    assert reached["topic", "prose"] == pytest.approx(targets[2]["prose"], rel=0.05)
+    assert sum(v for (m, _), v in reached.items() if m == "lang") == pytest.approx(M.SHARE * sum(cells.values()), rel=0.1)
+
+
+def test_a_rare_cell_shrinks_nothing(spark):
+    rows = [(i, " ".join(["word"] * 50), "en" if i % 2 else "fr", f"s{i % 4}") for i in range(400)]
+    schema = "doc_id long, text string, lang string, source string"
+    a = {r.doc_id: r._probability for r in M.probabilities(spark.createDataFrame(rows, schema)).collect()}
+    b = {r.doc_id: r._probability for r in M.probabilities(spark.createDataFrame([*rows, (400, "one stray line", "en", "new")], schema)).collect()}
+    assert b[400] == 1.0 and all(b[i] == pytest.approx(a[i], rel=0.05) for i in a)
+
+
+def test_given_targets(spark):
+    rows = [(i, " ".join(["word"] * 50), "en", f"s{i % 4}", f"t{i % 3}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    got = M.marginals(docs, "topic", targets={"source": {"s0": 3, "s1": 1, "s2": 1}}, share=0.25).collect()
+    have = {(r.margin, r.category): r.expected for r in got}
+    assert [have["source", f"s{k}"] for k in range(4)] == pytest.approx([9000, 3000, 3000, 0])
+    assert [have["topic", f"t{k}"] for k in range(3)] == pytest.approx([5000] * 3)
 
 
 def test_both_ways_of_raking_agree(spark):
