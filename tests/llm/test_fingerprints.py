@@ -65,3 +65,20 @@ def test_odd_rows(odd_docs, no_docs):
     one = odd_docs.where("doc_id = 6")
     (r,) = M.edited_likeness(one).collect()
     assert r.near_next == 1.0
+
+
+def test_many_copies_of_a_line_do_not_wrap():
+    line = "the same short line over and over\n"
+    a, b = (M.vectors(*M.K.pack([(line * n + "another end\n").encode()])) for n in (50_000, 50_001))
+    assert M.likeness(a, b)[0] > 0.999 and not (a[0] == b[0]).all()
+
+
+def test_updates_of_a_table(spark):
+    texts = {1: ["one line here", "two", "three words more"], 2: ["only this"], 3: []}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    before = M.fingerprints(frame([(i, "\n".join(p)) for i, p in texts.items()]))
+    inserted = frame([(1, "new paragraph"), (2, "only this"), (4, "fresh\nand more"), *[(3, f"line {k}") for k in range(500)]])
+    deleted = frame([(1, "two"), (2, "only this"), (2, "only this")])
+    got = {r.doc_id: r.fingerprint for r in M.updated(before, inserted, deleted).collect()}
+    want = {1: "three words more\nnew paragraph\none line here", 2: "", 3: "\n".join(f"line {k}" for k in range(500)), 4: "and more\nfresh"}
+    assert got == {i: M.fingerprint(t) for i, t in want.items()}

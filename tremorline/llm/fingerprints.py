@@ -6,12 +6,14 @@ matter, equal multisets have equal sums, and a paragraph is inserted or deleted
 
 The vector has two parts:
 * 16 lanes modulo 2**32 taken from BLAKE2b-512 of the paragraph, which decide equality;
-* `LANES` lanes modulo 2**16 in which each 3-word shingle of the paragraph adds +1 or -1 to the lane that its hash names.
+* `LANES` lanes modulo 2**32 in which each 3-word shingle of the paragraph adds +1 or -1 to the lane that its hash names.
   The cosine of two such sums estimates the cosine of the shingle multisets and is the likeness that is returned.
 
 Defined results: null text is empty and has the fingerprint zero; a text of white space alone too. Two equal
-fingerprints have likeness 1, a zero and a non-zero one 0. Rows with equal ids are ordered by text; a null id counts
-as the smallest. Extra columns are ignored. An empty table gives an empty result.
+fingerprints have likeness 1, a zero and a non-zero one 0. A very long text, or one line two thousand million times over, has exact sums. Rows with
+equal ids, repeated rows too, are ordered by text; a null id counts as the smallest, and all rows of one id meet in one task. Extra
+columns are ignored. An empty table gives an empty result. `updated` takes ids that occur on one side only as documents without
+paragraphs on the other.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as K
 
 WIDE, LANES, SHINGLE = 16, 128, 3
-HEX = WIDE * 8 + LANES * 4
+HEX = WIDE * 8 + LANES * 8
 
 
 def _wide(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -56,7 +58,7 @@ def vectors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Both parts of the fingerprints of all rows of a flat buffer."""
     n = len(offsets) - 1
     if not len(buf):
-        return np.zeros((n, WIDE), np.uint32), np.zeros((n, LANES), np.uint16)
+        return np.zeros((n, WIDE), np.uint32), np.zeros((n, LANES), np.uint32)
     starts, ends = _lines(buf, offsets)
     ws, we = K.words(buf, offsets)
     line = np.searchsorted(starts, ws, "right") - 1
@@ -72,11 +74,11 @@ def vectors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lane = (h >> np.uint64(40)).astype(np.int64) % LANES
     sign = 1.0 - 2.0 * (h & np.uint64(1)).astype(np.float64)
     sums = np.bincount(K.rows_of(offsets, ws[take]) * LANES + lane, sign, n * LANES)
-    return wide, sums.astype(np.int64).astype(np.uint16).reshape(n, LANES)
+    return wide, sums.astype(np.int64).astype(np.uint32).reshape(n, LANES)
 
 
 def to_text(wide: np.ndarray, sums: np.ndarray) -> list[str]:
-    raw = np.concatenate([wide.astype(">u4").view(np.uint8).reshape(len(wide), -1), sums.astype(">u2").view(np.uint8).reshape(len(sums), -1)], axis=1)
+    raw = np.concatenate([wide.astype(">u4").view(np.uint8).reshape(len(wide), -1), sums.astype(">u4").view(np.uint8).reshape(len(sums), -1)], axis=1)
     every = raw.tobytes().hex()
     return [every[i * HEX : (i + 1) * HEX] for i in range(len(wide))]
 
@@ -84,7 +86,7 @@ def to_text(wide: np.ndarray, sums: np.ndarray) -> list[str]:
 def from_text(prints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(len(prints), HEX // 2)
     cut = WIDE * 4
-    return np.ascontiguousarray(raw[:, :cut]).view(">u4").astype(np.uint32), np.ascontiguousarray(raw[:, cut:]).view(">u2").astype(np.uint16)
+    return np.ascontiguousarray(raw[:, :cut]).view(">u4").astype(np.uint32), np.ascontiguousarray(raw[:, cut:]).view(">u4").astype(np.uint32)
 
 
 def fingerprint(text: str | None) -> str:
@@ -106,7 +108,7 @@ def delete(prints: str, other: str) -> str:
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """0 to 1 for each pair of rows: 1 if equal, else the cosine of the signed lanes, at least 0."""
     equal = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cos = np.divide((x * y).sum(axis=1), norm, out=np.zeros(len(norm)), where=norm > 0)
     return np.where(equal, 1.0, np.clip(cos, 0.0, 1.0))
@@ -136,6 +138,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(lambda it: _fold(it, ["doc_id"], arrow), schema)
 
 
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums (doc_id, fingerprint) of a batch's fingerprints, each taken off where `minus`."""
+    for batch in batches:
+        w, s = from_text(batch.column("fingerprint").to_pylist()) if batch.num_rows else (np.zeros((0, WIDE), np.uint32), np.zeros((0, LANES), np.uint32))
+        minus = batch.column("minus").to_numpy(zero_copy_only=False).astype(bool)
+        w[minus], s[minus] = -w[minus], -s[minus]
+        ids = batch.column("doc_id").dictionary_encode()
+        group = np.where(np.asarray(ids.indices.is_null()), len(ids.dictionary), ids.indices.fill_null(0).to_numpy())
+        out = [np.zeros((len(ids.dictionary) + 1, x.shape[1]), np.uint32) for x in (w, s)]
+        for total, x in zip(out, (w, s), strict=True):
+            np.add.at(total, group, x)
+        found = np.unique(group)
+        names = pa.concat_arrays([ids.dictionary, pa.nulls(1, ids.dictionary.type)]).take(pa.array(found))
+        yield pa.RecordBatch.from_arrays([names, pa.array(to_text(out[0][found], out[1][found]), pa.string()), pa.array(np.zeros(len(found), bool))], names=["doc_id", "fingerprint", "minus"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    w, s = from_text(table.column("fingerprint").to_pylist())
+    return pa.table({"doc_id": table.column("doc_id")[:1], "fingerprint": to_text(w.sum(axis=0, dtype=np.uint32)[None], s.sum(axis=0, dtype=np.uint32)[None])})
+
+
+def updated(prints: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint) after paragraphs (doc_id, text) came in and others went, without the documents' own texts.
+
+    Changes are fingerprinted and summed per document batch by batch before the shuffle, so a document with very many costs no more than others.
+    """
+    rows = prints.select("doc_id", "fingerprint", F.lit(False).alias("minus"))
+    for changes, minus in ((inserted, False), (deleted, True)):
+        rows = rows.unionByName(fingerprints(changes).withColumn("minus", F.lit(minus)))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_changes, f"doc_id {kind}, fingerprint string, minus boolean").groupBy("doc_id").applyInArrow(_summed, f"doc_id {kind}, fingerprint string")
+
+
 def _bucket(key, splits: list):
     """How many splits are <= key: two levels, so that many splits stay cheap per row."""
     if not splits:

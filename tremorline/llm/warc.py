@@ -144,7 +144,9 @@ def planned(pages: DataFrame, least: int = REVISIT) -> DataFrame:
     repeated = narrow.where(F.col("size") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("to")).where("n > 1")
     repeated = repeated.select("digest", "to", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     same = narrow.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null").select("id", F.lit(True).alias("same_id"))
-    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(repeated, ["digest", "salt"], "left").join(same, "id", "left")
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(repeated, ["digest", "salt"], "left")
+    nameless = salted.where("id is null").withColumn("same_id", F.lit(False))  # kept out of the join, where they would meet in one task
+    salted = salted.where("id is not null").join(same, "id", "left").unionByName(nameless, allowMissingColumns=True)
     salted = salted.select("id", F.col("digest").alias("sha"), F.when(F.col("to") != F.col("key"), F.col("to")).alias("refers_to"), F.coalesce("same_id", F.lit(False)).alias("same_id"))
     special = K.saved(salted.where("refers_to is not null or same_id").distinct(), "special")
     special = F.broadcast(special) if special.count() <= SMALL else special
