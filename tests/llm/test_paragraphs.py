@@ -173,3 +173,44 @@ def test_odd_rows(odd_docs, no_docs):
     kept = M.dedup_stage(None, odd_docs, "")
     assert kept.count() == odd_docs.count()
     assert {r.n_chars for r in kept.collect() if r.doc_id == 1} == {None}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_large_groups_of_whole_texts(seed):
+    """Near copies of a few long sets, strangers, and sets between clusters: the components of all pairs."""
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 40, 200) for _ in range(3)]
+    base.append(np.r_[base[0][:110], base[1][110:]])
+    sets = []
+    for i in range(260):
+        s = base[i % 4].copy() if i % 9 else np.r_[base[0][:20], rng.integers(0, 1 << 40, 180)]
+        k = int(rng.integers(0, 30))
+        s[rng.choice(200, k, replace=False)] = rng.integers(0, 1 << 40, k)
+        sets.append(np.unique(s))
+    n = len(sets)
+    offsets, flat = np.r_[0, np.cumsum([len(s) for s in sets])], np.concatenate(sets)
+    i, j = np.triu_indices(n, 1)
+    good = M.similarity(flat, offsets, i, j) >= M.SIMILAR
+    want = local(n, i[good], j[good])
+    assert (local(n, *M.filtered(flat, offsets)) == want).all() and (local(n, *M.linked(flat, offsets)) == want).all()
+
+
+@pytest.mark.parametrize("changed", [15, 40])
+def test_thousands_of_near_copies_take_seconds(changed):
+    """Copies within the similarity, and copies that overlap as much but stay below it."""
+    import time
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 40, 500)
+    sets = []
+    for _ in range(2000):
+        s = base.copy()
+        s[rng.choice(500, changed, replace=False)] = rng.integers(0, 1 << 40, changed)
+        sets.append(np.unique(s))
+    offsets, flat = np.r_[0, np.cumsum([len(s) for s in sets])], np.concatenate(sets)
+    began = time.perf_counter()
+    a, b = M.filtered(flat, offsets)
+    assert time.perf_counter() - began < 30
+    i, j = rng.integers(0, 2000, (2, 2000))
+    label = local(2000, a, b)
+    assert (label[i] == label[j])[M.similarity(flat, offsets, i, j) >= M.SIMILAR].all()

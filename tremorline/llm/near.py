@@ -112,6 +112,6 @@ def clusters(docs: DataFrame) -> DataFrame:
     one = own.join(found.select("pid").distinct(), "pid").groupBy("pid").agg(F.min("text_key").alias("text_key")).select("text_key").distinct()
     wanted = docs.join(_maybe_broadcast(K.saved(one, "near-texts")), "text_key", "left_semi").select("text")
     sets = wanted.mapInArrow(_sets, "pid long, shingles array<long>").dropDuplicates(["pid"])
-    verified = found.join(sets, "pid").select("key", "pid", "shingles").repartition(K.partitions(spark), "key").sortWithinPartitions("key", "pid").mapInArrow(_verifier(3, 64), "a long, b long")
+    verified = found.join(sets, "pid").select("key", "pid", "shingles").repartition(K.partitions(spark), "key").sortWithinPartitions("key", "pid").mapInArrow(_verifier(3, 8), "a long, b long")
     roots = components(verified, "near-links").withColumnRenamed("node", "pid")
     return own.select("doc_id", "text_key", "pid").join(roots, "pid", "left").select("doc_id", "text_key", F.coalesce("root", "pid").alias("root"))

@@ -7,8 +7,8 @@ line breaks fall. Paragraphs of at least `LEAST` words take part, as sets of 5-w
 1. `BANDS` bands of `ROWS` minima each give a paragraph its keys (recall 0.97 at similarity 0.8, 0.998 at 0.9). Keys held by
    two or more distinct paragraphs are kept.
 2. The shingle sets of those paragraphs are fetched and each key's paragraphs verified by exact Jaccard similarity of
-   `SIMILAR` or more. In a large group only members that share a rare shingle are compared (see `filtered`), and large lists of
-   such members are peeled ball by ball, for Jaccard distance is a metric (see `linked`); neither loses a link. All distinct paragraphs
+   `SIMILAR` or more. In a large group only members that share a rare shingle and are not linked already are compared (see `filtered`), and
+   middling groups are peeled ball by ball, for Jaccard distance is a metric (see `linked`); neither loses a component. All distinct paragraphs
    of a key are in one task, so a key's variants are bounded by an executor's memory; copies of a paragraph are one from the start.
 3. Verified links are clustered by components. In each cluster the first occurrence (smallest document, earliest word) stays and the
    others are repeats.
@@ -233,16 +233,92 @@ def _pairs(head: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (head[:0], head[:0])
 
 
+def _similar(ids: np.ndarray, offsets: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a few sets with many at least so similar; intersections are counted by products of membership matrices.
+
+    ids are the sets' shared shingles, size their whole sizes. Rows and columns come in blocks, so memory does not depend on the number of sets.
+    """
+    own = np.diff(offsets)
+    a, b = [], []
+    for i in range(0, len(left), 256):
+        x = left[i : i + 256]
+        value = ids[K.ranges(offsets[x], own[x])]
+        names = np.unique(value)
+        owner, mine = np.repeat(np.arange(len(x)), own[x]), np.searchsorted(names, value)
+        for j in range(0, len(right), 2048):
+            y = right[j : j + 2048]
+            both = np.zeros((len(x), len(y)), np.float32)
+            if len(names):
+                other = ids[K.ranges(offsets[y], own[y])]
+                at = np.minimum(np.searchsorted(names, other), len(names) - 1)
+                good = names[at] == other
+                row, at = np.repeat(np.arange(len(y)), own[y])[good], at[good]
+            for c in range(0, len(names), 2048):
+                wide = min(2048, len(names) - c)
+                ours, theirs = np.zeros((len(x), wide), np.float32), np.zeros((len(y), wide), np.float32)
+                m, t = (mine >= c) & (mine < c + wide), (at >= c) & (at < c + wide)
+                ours[owner[m], mine[m] - c] = 1
+                theirs[row[t], at[t] - c] = 1
+                both += ours @ theirs.T
+            p, q = np.nonzero(both >= least * (size[x][:, None] + size[y][None] - both) - 1e-6)
+            a.append(x[p]), b.append(y[q])
+    return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], left[:0])
+
+
+class Merged:
+    """Components of a group's sets as links between them become known."""
+
+    def __init__(self, number: np.ndarray, count: np.ndarray, offsets: np.ndarray, least: float):
+        """number: the dense numbers of all shingles, set by set; count: in how many sets each is."""
+        self.size, self.least, self.label = np.diff(offsets), least, np.arange(len(offsets) - 1)
+        shared = count[number] > 1  # others are in no intersection
+        self.ids, self.offsets = number[shared], np.r_[0, np.cumsum(shared)][offsets]
+
+    def similar(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _similar(self.ids, self.offsets, self.size, left, right, self.least)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        new = self.label[a] != self.label[b]
+        if new.any():
+            every = np.arange(len(self.label))
+            self.label = local(len(every), np.r_[every, a[new]], np.r_[self.label, b[new]])
+
+    def centres(self, rounds: int) -> None:
+        """A few passes that link all sets near one of the largest rest to it: groups of near copies are mostly one component then."""
+        own = np.arange(len(self.label))
+        for _ in range(rounds):
+            if len(own) < 2:
+                break
+            a, b = self.similar(own[:1], own)
+            self.add(a, b)
+            own = np.setdiff1d(own[1:], b)
+
+    def across(self, own: np.ndarray) -> None:
+        """All links of a list between different components; sets that are one already are not compared."""
+        while len(own) > 1:
+            name, count = np.unique(self.label[own], return_inverse=True, return_counts=True)[1:]
+            if len(count) == 1:
+                break
+            small = np.argsort(count, kind="stable")
+            take = small[: max(1, int(np.searchsorted(np.cumsum(count[small]), 256, "right")))]
+            take = take[take != small[-1]] if len(take) == len(count) else take
+            mine = np.isin(name, take)
+            self.add(*self.similar(own[mine], own))
+            own = own[~mine]
+
+
 def filtered(flat: np.ndarray, offsets: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
     """The same links for a large group, by prefix filtering: similar sets share one of their rarest shingles.
 
     With shingles in order of their frequency in the group, two sets of the wanted similarity meet among the first
     |s| - ceil(least * |s|) + 1 of each. What all members have in common, like a line they quote, is last and is
-    never compared; members that share a rare shingle are mostly similar, and large lists of them are peeled.
+    never compared. Members known to be one component are not compared again, so near copies cost a few passes.
     """
     size = np.diff(offsets)
     row = np.repeat(np.arange(len(size)), size)
-    value, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    merged = Merged(number, count, offsets, least)
+    merged.centres(4)
     order = np.lexsort((number, count[number], row))
     place = np.arange(len(row)) - np.repeat(offsets[:-1], size)
     first = order[place < np.repeat(size - np.ceil(least * size - 1e-9) + 1, size)]
@@ -251,16 +327,22 @@ def filtered(flat: np.ndarray, offsets: np.ndarray, least: float = SIMILAR) -> t
     head = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(shingle) else first
     many = np.diff(np.r_[head, len(shingle)])
     i, j = _pairs(head[many <= PAIRED], many[many <= PAIRED])
-    pair = np.unique(member[i] * len(size) + member[j])
+    i, j = member[i], member[j]
+    new = merged.label[i] != merged.label[j]
+    pair = np.unique(i[new] * len(size) + j[new])
     i, j = pair // len(size), pair % len(size)
     good = similarity(flat, offsets, i, j, least) >= least
-    a, b = [i[good]], [j[good]]
-    for h, m in zip(head[many > PAIRED].tolist(), many[many > PAIRED].tolist(), strict=True):
-        own = member[h : h + m]
-        part = flat[K.ranges(offsets[own], size[own])]
-        x, y = linked(part, np.r_[0, np.cumsum(size[own])], least)
-        a.append(own[x]), b.append(own[y])
-    return np.concatenate(a), np.concatenate(b)
+    merged.add(i[good], j[good])
+    wide = np.flatnonzero(many > PAIRED)
+    if (many[wide].astype(np.int64) ** 2).sum() > len(size) ** 2:  # lists that overlap: each pair once instead
+        merged.across(np.arange(len(size)))
+        wide = wide[:0]
+    for k in wide[np.argsort(many[wide], kind="stable")].tolist():
+        own = member[head[k] : head[k] + many[k]]
+        if (merged.label[own] != merged.label[own[0]]).any():
+            merged.across(own)
+    tied = np.flatnonzero(merged.label != np.arange(len(size)))
+    return merged.label[tied], tied
 
 
 def _verifier(paired: int = PAIRED, peeled: int = PAIRED):
