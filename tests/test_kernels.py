@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tremorline.operators import kernels as N
-from tremorline.operators import models, signal, thermal, trackers
+from tremorline.operators import models, signal, thermal
 
 
 def series(values, step_h=4.0, n=6, within=0.01):
@@ -73,14 +73,6 @@ def test_alarm_levels():
     assert N.thresholds(0.1).step_deg == 0.8 and N.thresholds(0.0).small_deg == 0.2
 
 
-def test_comparator_finds_large_steps_only():
-    rng = np.random.default_rng(5)
-    v = np.array([0.0, 0.0, 1.0]) + rng.normal(0, 0.0002, (20, 3))
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    rows = {(r["method"], r["step_deg"]): r for r in trackers.comparator(v, (0.05, 2.0))}
-    assert rows["mad", 2.0]["detect_rate"] > 0.8 and rows["mad", 0.05]["detect_rate"] == 0
-
-
 def test_thermal_fit_and_attribution():
     hours = np.arange(0, 720.0)
     temp = 25 + 8 * np.sin(hours * 2 * np.pi / 24)

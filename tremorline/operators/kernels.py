@@ -263,18 +263,39 @@ class AlarmConfig:
     handling_deg: float = 1.0
 
 
-def _direction(vectors: list) -> np.ndarray:
-    m = np.median(np.asarray(vectors, float), axis=0)
-    return m / np.linalg.norm(m)
+def _direction(vectors) -> np.ndarray:
+    m = np.median(np.asarray(vectors, float), axis=-2)
+    return m / np.linalg.norm(m, axis=-1, keepdims=True)
 
 
-def _degrees(a, b) -> float:
-    return float(np.degrees(np.arccos(np.clip(np.dot(a, b), -1.0, 1.0))))
+def _degrees(a, b):
+    """Degrees between unit vectors, row by row."""
+    return np.degrees(np.arccos(np.clip((np.asarray(a, float) * np.asarray(b, float)).sum(axis=-1), -1.0, 1.0)))
+
+
+@dataclass(frozen=True)
+class Level:
+    """A level of alarm: the direction of the last `window` readings against a reference, beyond a limit `held` readings in a row."""
+
+    name: str
+    window: str | None  # field of AlarmConfig, or the reading itself
+    against: str  # "ref", or "base": the first readings of the session
+    limit: str
+    held: str | int = 1
+
+    def count(self, cfg: AlarmConfig) -> int:
+        return getattr(cfg, self.held) if isinstance(self.held, str) else self.held
+
+
+#: Levels in the order in which they are raised, at most one with a reading.
+LEVELS = (
+    Level("EVENT", None, "ref", "event_deg", 2), Level("STEP", "fast", "ref", "step_deg"), Level("SMALL_STEP", "slow", "ref", "small_deg", "hold"), Level("SESSION_STEP", "fast", "base", "step_deg"),
+)
 
 
 def new_alarm(ref=None) -> dict:
     """A node's state: reference direction, latches, and the session so far."""
-    return {"ref": None if ref is None else (np.asarray(ref, float) / np.linalg.norm(ref)).tolist(), "latched": [], "last": None, "recent": [], "base": [], "events": 0, "small": 0}
+    return {"ref": None if ref is None else (np.asarray(ref, float) / np.linalg.norm(ref)).tolist(), "latched": [], "last": None, "recent": [], "base": [], "runs": {}}
 
 
 def rearm(state: dict, ref) -> dict:
@@ -287,49 +308,81 @@ def thresholds(quiet: float) -> AlarmConfig:
     return AlarmConfig(small_deg=max(0.20, 3 * quiet), step_deg=max(0.50, 8 * quiet))
 
 
+def _alert(t: float, level: str, lean: float, recent: np.ndarray, cfg: AlarmConfig) -> dict:
+    handled = len(recent) >= 3 and _degrees(recent, _direction(recent)).max() > cfg.handling_deg
+    return {"t": t, "level": level, "angle_deg": round(float(lean), 3), "handling_like": bool(handled)}
+
+
 def read_alarm(state: dict, t: float, acc, cfg: AlarmConfig = AlarmConfig()) -> dict | None:
     """Take in one reading; the first level not raised before that it reaches, if any. Changes state."""
-    acc = np.asarray(acc, float)
     size = float(np.linalg.norm(acc))
     if not np.isfinite(size) or size == 0:
         return None
     if state["last"] is None or t - state["last"] > cfg.gap_s:
-        state.update(recent=[], base=[], events=0, small=0)
+        state.update(recent=[], base=[], runs={})
     state["last"] = t
-    now = acc / size
-    state["recent"] = [*state["recent"], now.tolist()][-cfg.slow :]
-    if len(state["base"]) < cfg.base:
-        state["base"] = [*state["base"], now.tolist()]
-    recent = state["recent"]
-    fast = _direction(recent[-cfg.fast :]) if len(recent) >= cfg.fast else None
-    reached: list[tuple[str, float]] = []
-    if state["ref"] is not None:
-        ref = np.asarray(state["ref"])
-        lean = _degrees(now, ref)
-        state["events"] = state["events"] + 1 if lean > cfg.event_deg else 0
-        if state["events"] >= 2:
-            reached.append(("EVENT", lean))
-        if fast is not None and _degrees(fast, ref) > cfg.step_deg:
-            reached.append(("STEP", _degrees(fast, ref)))
-        if len(recent) >= cfg.slow:
-            slow = _degrees(_direction(recent), ref)
-            state["small"] = state["small"] + 1 if slow > cfg.small_deg else 0
-            if state["small"] >= cfg.hold:
-                reached.append(("SMALL_STEP", slow))
-    if fast is not None and len(state["base"]) >= cfg.base:
-        lean = _degrees(fast, _direction(state["base"]))
-        if lean > cfg.step_deg:
-            reached.append(("SESSION_STEP", lean))
-    for level, lean in reached:
-        if level not in state["latched"]:
-            state["latched"] = [*state["latched"], level]
-            centre = _direction(recent)
-            handled = len(recent) >= 3 and max(_degrees(x, centre) for x in recent) > cfg.handling_deg
-            return {"t": t, "level": level, "angle_deg": round(lean, 3), "handling_like": bool(handled)}
-    return None
+    now = (np.asarray(acc, float) / size).tolist()
+    state["recent"] = [*state["recent"], now][-max(cfg.fast, cfg.slow) :]
+    state["base"] = [*state["base"], now][: cfg.base]
+    alert = None
+    for level in LEVELS:
+        n = getattr(cfg, level.window) if level.window else 1
+        against = state["ref"] if level.against == "ref" else (_direction(state["base"]) if len(state["base"]) >= cfg.base else None)
+        if against is None or len(state["recent"]) < n:
+            continue
+        lean = float(_degrees(_direction(state["recent"][-n:]), against))
+        run = state["runs"][level.name] = state["runs"].get(level.name, 0) + 1 if lean > getattr(cfg, level.limit) else 0
+        if alert is None and run >= level.count(cfg) and level.name not in state["latched"]:
+            state["latched"] = [*state["latched"], level.name]
+            alert = _alert(t, level.name, lean, np.array(state["recent"]), cfg)
+    return alert
 
 
 def replay(t: np.ndarray, acc: np.ndarray, ref=None, cfg: AlarmConfig = AlarmConfig()) -> list[dict]:
-    """All alerts of a history."""
-    state = new_alarm(ref)
-    return [a for i in range(len(t)) if (a := read_alarm(state, float(t[i]), acc[i], cfg)) is not None]
+    """All alerts of a history in time order, as reading by reading: rolling directions of whole sessions at once, then only
+    the readings that reach a level are looked at, until every level has been raised."""
+    t, acc = np.asarray(t, float), np.asarray(acc, float).reshape(-1, 3)
+    size = np.linalg.norm(acc, axis=1)
+    good = np.isfinite(size) & (size != 0)
+    t, unit = t[good], acc[good] / size[good, None]
+    n = len(t)
+    if not n:
+        return []
+    head = np.flatnonzero(np.r_[True, np.diff(t) > cfg.gap_s])
+    length = np.diff(np.r_[head, n])
+    place = np.arange(n) - np.repeat(head, length)  # readings before this one in its session
+    number = np.repeat(np.arange(len(head)), length)
+    last = max(cfg.fast, cfg.slow)
+
+    def rolling(width: int) -> np.ndarray:
+        out = np.full((n, 3), np.nan)
+        for at in range(width - 1, n, 200_000):
+            stop = min(n, at + 200_000)
+            view = np.lib.stride_tricks.sliding_window_view(unit[at - width + 1 : stop], width, axis=0)
+            out[at:stop] = _direction(view.swapaxes(1, 2))
+        out[place < width - 1] = np.nan
+        return out
+
+    base = np.full((len(head), 3), np.nan)
+    for k in np.flatnonzero(length >= cfg.base):
+        base[k] = _direction(unit[head[k] : head[k] + cfg.base])
+    base = np.where((place >= cfg.base - 1)[:, None], base[number], np.nan)
+    fixed = None if ref is None else np.broadcast_to(np.asarray(ref, float) / np.linalg.norm(ref), (n, 3))
+    recent = {None: unit, **{w: rolling(getattr(cfg, w)) for w in ("fast", "slow")}}
+    leans, reached = [], []
+    for level in LEVELS:
+        against = fixed if level.against == "ref" else base
+        lean = np.full(n, np.nan) if against is None else _degrees(recent[level.window], against)
+        over = lean > getattr(cfg, level.limit)
+        broken = np.maximum.accumulate(np.where(over, head[number] - 1, np.arange(n)))
+        leans.append(lean), reached.append(np.arange(n) - broken >= level.count(cfg))
+    out, latched = [], set()
+    for i in np.flatnonzero(np.any(reached, axis=0)).tolist():
+        k = next((k for k in range(len(LEVELS)) if reached[k][i] and k not in latched), None)
+        if k is None:
+            continue
+        latched.add(k)
+        out.append(_alert(float(t[i]), LEVELS[k].name, leans[k][i], unit[max(head[number[i]], i - last + 1) : i + 1], cfg))
+        if len(latched) == len(LEVELS):
+            break
+    return out

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import robust, vectors
 from ..operators import features as X
+from ..operators import models, thermal, trackers
 from ..operators import series as S
-from ..operators import thermal
 from ..sources import packets, sinks
+from . import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,9 +277,61 @@ def epoch_cut(spark, sf):
 @query("settle_and_norm_gate", f"""WITH {EV}, s AS (SELECT *, sqrt(value * value + raw * raw) AS norm FROM (SELECT *, min(us) OVER (PARTITION BY node) AS first FROM ev) WHERE us >= first + 86400000000),
 m AS (SELECT *, median(norm) OVER (PARTITION BY node) AS mid FROM s) SELECT event_id, node, round(norm, 6) AS norm FROM m WHERE norm > 0 AND abs(norm - mid) / mid < 0.3""")
 def settle_and_norm_gate(spark, sf):
-    rows = ev(spark, sf).withColumn("first", F.min("us").over(W.partitionBy("node"))).where(F.col("us") >= F.col("first") + 24 * HOUR)
-    rows = rows.withColumn("norm", F.sqrt(F.col("value") * F.col("value") + F.col("raw") * F.col("raw"))).withColumn("mid", robust.median("norm").over(W.partitionBy("node")))
-    return rows.where((F.col("norm") > 0) & (F.abs(F.col("norm") - F.col("mid")) / F.col("mid") < 0.3)).select("event_id", "node", r6("norm"))
+    rows = monitor.settled(ev(spark, sf), NODE, 24.0).withColumn("norm", F.sqrt(F.col("value") * F.col("value") + F.col("raw") * F.col("raw")))
+    return monitor.plausible(rows, NODE, 0.3).select("event_id", "node", r6("norm"))
+
+
+def _compare_rows(spark, sf):
+    """Vectors of all events, one mounting for each node."""
+    e = ev(spark, sf)
+    return e.select(F.col("node").alias("sensor_id"), F.lit(0).cast("bigint").alias("segment"), "us", (F.col("value") - 50).alias("x"), (F.col("raw") - 50.0).alias("y"), F.lit(300.0).alias("z"))
+
+
+COMPARE = trackers.CompareConfig(cut_deg=25.0, floor_deg=4.0, fixed_deg=6.0, k_mad=2.0, steps_deg=(2.0, 5.0, 10.0, 20.0))
+#: Epochs of the same events with their hits: h without, q with an injected turn, by session of the test part.
+_COMPARE = f"""{EV}, v0 AS (SELECT node, event_id, us, value - 50 AS x, raw - 50.0::DOUBLE AS y, 300.0::DOUBLE AS z FROM ev),
+v1 AS (SELECT *, sqrt(x * x + y * y + z * z) AS norm FROM v0 QUALIFY us >= min(us) OVER (PARTITION BY node) + 21600000000),
+v2 AS (SELECT node, us, x / norm AS x, y / norm AS y, z / norm AS z, event_id FROM (SELECT *, median(norm) OVER (PARTITION BY node) AS mid FROM v1) WHERE norm > 0 AND abs(norm - mid) / mid < 0.3),
+v3 AS (SELECT *, sum(CASE WHEN us - pr > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, lag(us) OVER (PARTITION BY node ORDER BY us, event_id) AS pr FROM v2)),
+m0 AS (SELECT node, session, min(us) AS start_us, median(x) AS x, median(y) AS y, median(z) AS z FROM v3 GROUP BY 1, 2 HAVING count(*) >= 3),
+m1 AS (SELECT node, session, start_us, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM m0),
+m2 AS (SELECT *, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, x * lag(x) OVER w + y * lag(y) OVER w + z * lag(z) OVER w)))) AS jump FROM m1 WINDOW w AS (PARTITION BY node ORDER BY session)),
+m3 AS (SELECT *, CAST(sum(CASE WHEN jump > {COMPARE.cut_deg} THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY session ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM m2),
+m4 AS (SELECT *, row_number() OVER (PARTITION BY node, epoch ORDER BY session) - 1 AS k, count(*) OVER (PARTITION BY node, epoch) AS c FROM m3),
+f0 AS (SELECT node, epoch, median(v3.x) AS x, median(v3.y) AS y, median(v3.z) AS z FROM v3 JOIN (SELECT node, session, epoch FROM m4 WHERE k < {COMPARE.ref_sessions}) USING (node, session) GROUP BY 1, 2),
+f1 AS (SELECT node, epoch, x / sqrt(x * x + y * y + z * z) AS rx, y / sqrt(x * x + y * y + z * z) AS ry, z / sqrt(x * x + y * y + z * z) AS rz FROM f0),
+f2 AS (SELECT *, CASE WHEN abs(rx) <= abs(ry) AND abs(rx) <= abs(rz) THEN [0, rz, -ry] WHEN abs(ry) <= abs(rz) THEN [-rz, 0, rx] ELSE [ry, -rx, 0] END AS u FROM f1),
+f3 AS (SELECT node, epoch, rx, ry, rz, ry * u[3] - rz * u[2] AS wx, rz * u[1] - rx * u[3] AS wy, rx * u[2] - ry * u[1] AS wz, sqrt(u[1] * u[1] + u[2] * u[2] + u[3] * u[3]) AS l FROM f2),
+t0 AS (SELECT m4.node, m4.epoch, k - {COMPARE.ref_sessions} AS i, c - {COMPARE.ref_sessions} AS rest, x * rx + y * ry + z * rz AS a, (x * wx + y * wy + z * wz) / l AS b FROM m4 JOIN f3 ON m4.node = f3.node AND m4.epoch = f3.epoch WHERE c >= {COMPARE.least_sessions} AND k >= {COMPARE.ref_sessions}),
+t1 AS (SELECT * FROM (SELECT *, greatest({COMPARE.least_train}, CAST(floor(rest * {COMPARE.train}) AS BIGINT)) AS train FROM t0) WHERE train + {COMPARE.least_test} <= rest),
+sh AS (SELECT *, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, a)))) AS shift FROM t1),
+lm AS (SELECT node, epoch, mid, greatest({COMPARE.floor_deg}::DOUBLE, mid + {COMPARE.k_mad}::DOUBLE * 1.4826::DOUBLE * median(abs(shift - mid))) AS thr FROM (SELECT *, median(shift) OVER (PARTITION BY node, epoch) AS mid FROM sh WHERE i < train) GROUP BY 1, 2, 3),
+me AS (SELECT node, epoch, 'mad' AS method, thr FROM lm UNION ALL SELECT node, epoch, 'fixed', {COMPARE.fixed_deg}::DOUBLE FROM lm),
+te AS (SELECT sh.node, sh.epoch, method, thr, i - train AS i, rest - train AS n, a, b, shift, shift > thr AS h FROM sh JOIN me ON sh.node = me.node AND sh.epoch = me.epoch WHERE i >= train)"""
+
+
+@query("baseline_comparator", f"""WITH {_COMPARE}, st AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in COMPARE.steps_deg)}]) AS step_deg),
+q AS (SELECT te.*, step_deg, degrees(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, a * cos(radians(step_deg)) + b * sin(radians(step_deg)))))) > thr AS q FROM te CROSS JOIN st),
+s AS (SELECT node, epoch, method, step_deg, unnest(range(0, n - {COMPARE.persist} + 1)) AS s0 FROM (SELECT DISTINCT node, epoch, method, step_deg, n FROM q)),
+x AS (SELECT q.*, s0, CASE WHEN i < s0 THEN h ELSE q END AS hit FROM q JOIN s USING (node, epoch, method, step_deg)),
+y AS (SELECT *, hit AND coalesce(lag(hit) OVER (PARTITION BY node, epoch, method, step_deg, s0 ORDER BY i), false) AS done FROM x),
+z AS (SELECT node, epoch, method, step_deg, thr, s0, min(CASE WHEN done THEN i END) AS fin FROM y GROUP BY ALL)
+SELECT node, epoch, method, step_deg, round(thr, 4) AS limit_deg, round(avg(CASE WHEN fin >= s0 THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS detect_rate, median(CASE WHEN fin >= s0 THEN fin - s0 + 1 END)::DOUBLE AS median_delay FROM z GROUP BY 1, 2, 3, 4, 5""")
+def baseline_comparator(spark, sf):
+    return _compared(spark, sf, False).select("node", "epoch", "method", "step_deg", F.round("limit_deg", 4).alias("limit_deg"), r6("detect_rate"), "median_delay")
+
+
+def _compared(spark, sf, summary: bool):
+    cfg = monitor.TiltConfig(gap_s=GAP_S)
+    sessions = monitor.session_directions(_compare_rows(spark, sf), cfg, 3, COMPARE.cut_deg, COMPARE.ref_sessions)
+    return trackers.compare(sessions, [*monitor.SEGMENT, "epoch"], COMPARE, summary).withColumnRenamed("sensor_id", "node")
+
+
+@query("baseline_epochs", f"""WITH {_COMPARE}, d AS (SELECT *, h AND coalesce(lag(h) OVER (PARTITION BY node, epoch, method ORDER BY i), false) AS done FROM te)
+SELECT node, epoch, max(n) AS test, round(max(shift), 4) AS test_shift_max, round(max(CASE WHEN method = 'mad' THEN thr END), 4) AS thr_mad, round(avg(CASE WHEN method = 'mad' THEN h::INTEGER END), 6) AS far_single_mad,
+  round(avg(CASE WHEN method = 'fixed' THEN h::INTEGER END), 6) AS far_single_fixed, max(CASE WHEN method = 'mad' THEN done::INTEGER END)::DOUBLE AS false_alarm_in_span_mad, max(CASE WHEN method = 'fixed' THEN done::INTEGER END)::DOUBLE AS false_alarm_in_span_fixed FROM d GROUP BY 1, 2""")
+def baseline_epochs(spark, sf):
+    return _compared(spark, sf, True).select("node", "epoch", "test", F.round("test_shift_max", 4).alias("test_shift_max"), F.round("thr_mad", 4).alias("thr_mad"), r6("far_single_mad"), r6("far_single_fixed"), "false_alarm_in_span_mad", "false_alarm_in_span_fixed")
 
 
 # Vectors -----------------------------------------------------------------------------------------------------------
@@ -499,11 +553,16 @@ def interp_align(spark, sf):
 
 # Statistics and regressions -------------------------------------------------------------------------------------------------
 
-@query("theil_sen_slope", f"""WITH {STAB}, f AS (SELECT node, start_us / 3600000000.0::DOUBLE AS x, u FROM st WHERE session < 40)
+@query("theil_sen_slope", f"""WITH {STAB}, f AS (SELECT node, start_us / 3600000000.0::DOUBLE AS x, u FROM st)
 SELECT a.node, round(median((b.u - a.u) / (b.x - a.x)), 6) AS slope FROM f a JOIN f b ON a.node = b.node AND b.x > a.x GROUP BY 1""")
 def theil_sen_slope(spark, sf):
-    rows = stab(spark, sf).where("session < 40").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start_us", "u"))).alias("p"))
-    return rows.select("node", r6(robust.theil_sen(F.transform("p", lambda p: p["start_us"] / float(HOUR)), F.transform("p", lambda p: p["u"])), "slope"))
+    """All pairs of a node's sessions, in blocks: time grows with the square of their number, memory does not."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start_us")
+        slope = models.sen_interval(pdf["start_us"].to_numpy(float) / float(HOUR), pdf["u"].to_numpy(float))[0]
+        return pd.DataFrame([{"node": pdf["node"].iloc[0], "slope": slope}]).dropna()
+
+    return stab(spark, sf).select("node", "start_us", "u").groupBy("node").applyInPandas(run, "node string, slope double").select("node", r6("slope"))
 
 
 @query("mad_sigma", f"WITH {EV}, m AS (SELECT node, value, median(value) OVER (PARTITION BY node) AS med FROM ev) SELECT node, round(1.4826::DOUBLE * median(abs(value - med)) + 0.000001::DOUBLE, 6) AS sigma FROM m GROUP BY 1")

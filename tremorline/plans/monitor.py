@@ -76,16 +76,57 @@ def segmented(rows: DataFrame, cfg: TiltConfig = TiltConfig()) -> DataFrame:
     return rows.join(cut.select("sensor_id", "_session", "segment"), ["sensor_id", "_session"]).drop("_session")
 
 
+def settled(rows: DataFrame, key: list[str], hours: float, us: str = "us") -> DataFrame:
+    """Samples from so many hours after each series' first on."""
+    first = F.min(us).over(W.partitionBy(*key))
+    return rows.withColumn("_first", first).where(F.col(us) >= F.col("_first") + int(hours * HOUR)).drop("_first")
+
+
+def plausible(rows: DataFrame, key: list[str], tolerance: float, norm: str = "norm") -> DataFrame:
+    """Samples whose size is positive and near the median of their series."""
+    rows = rows.withColumn("_mid", robust.median(norm).over(W.partitionBy(*key)))
+    return rows.where((F.col(norm) > 0) & (F.abs(F.col(norm) - F.col("_mid")) / F.col("_mid") < tolerance)).drop("_mid")
+
+
+def session_directions(rows: DataFrame, cfg: TiltConfig = TiltConfig(), least: int = 10, cut_deg: float = 0.3, ref_sessions: int = 2) -> DataFrame:
+    """Sessions of segmented samples as median directions (x, y, z), numbered by epoch, with the epoch's reference (rx, ry, rz).
+
+    A turn of more than cut_deg between sessions starts an epoch. The reference is the median of all samples of its first sessions.
+    """
+    rows = settled(rows, SEGMENT, cfg.settle_h)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*SEGMENT))).where(F.col("_n") >= least).drop("_n")
+    rows = plausible(rows.withColumn("norm", vectors.norm(vectors.triple("x", "y", "z"))), SEGMENT, cfg.norm_tolerance)
+    rows = S.sessionize(rows.select(*SEGMENT, "us", *[(F.col(c) / F.col("norm")).alias(c) for c in "xyz"]), SEGMENT, ["us"], cfg.gap_s)
+    mids = rows.groupBy(*SEGMENT, "session").agg(F.min("us").alias("start_us"), F.count(F.lit(1)).alias("n"), *[robust.median(c).alias(c) for c in "xyz"]).where(F.col("n") >= least)
+    unit = vectors.unit(vectors.triple("x", "y", "z"))
+    mids = mids.select(*SEGMENT, "session", "start_us", "n", *[c.alias(n) for c, n in zip(unit, "xyz", strict=True)])
+    w = S.ordered(SEGMENT, ["session"])
+    jump = vectors.angle_deg(vectors.triple("x", "y", "z"), tuple(F.lag(c).over(w) for c in "xyz"))
+    mids = S.segments(mids.withColumn("jump", jump), SEGMENT, ["session"], F.col("jump"), cut_deg, name="epoch").drop("jump")
+    mids = mids.withColumn("_k", F.row_number().over(S.ordered([*SEGMENT, "epoch"], ["session"])))
+    first = mids.where(F.col("_k") <= ref_sessions).select(*SEGMENT, "session", "epoch")
+    ref = rows.join(first, [*SEGMENT, "session"]).groupBy(*SEGMENT, "epoch").agg(*[robust.median(c).alias(f"_{c}") for c in "xyz"])
+    centre = vectors.unit(vectors.triple("_x", "_y", "_z"))
+    ref = ref.select(*SEGMENT, "epoch", *[c.alias(f"r{n}") for c, n in zip(centre, "xyz", strict=True)])
+    return mids.drop("_k").join(ref, [*SEGMENT, "epoch"]).withColumn("hours", F.col("start_us") / float(HOUR))
+
+
+def baseline(rows: DataFrame, cfg: TiltConfig = TiltConfig(), compare: trackers.CompareConfig = trackers.CompareConfig()) -> dict[str, DataFrame]:
+    """The plain comparator from acceleration samples: its detection curve and summary for each epoch of each mounting."""
+    sessions = session_directions(segmented(rows, cfg), cfg, cut_deg=compare.cut_deg, ref_sessions=compare.ref_sessions)
+    key = [*SEGMENT, "epoch"]
+    return {"sessions": sessions, "detection": trackers.compare(sessions, key, compare), "epochs": trackers.compare(sessions, key, compare, True)}
+
+
 def projected(rows: DataFrame, cfg: TiltConfig = TiltConfig()) -> DataFrame:
     """Settled, plausible samples of long enough segments, as degrees from the segment's early direction.
 
     Adds dev_u, dev_v, norm and the reference direction gx, gy, gz.
     """
     w = W.partitionBy(*SEGMENT)
-    rows = rows.withColumn("_first", F.min("us").over(w)).where(F.col("us") >= F.col("_first") + int(cfg.settle_h * HOUR))
+    rows = settled(rows, SEGMENT, cfg.settle_h)
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= cfg.least_samples * cfg.least_windows)
-    rows = rows.withColumn("norm", vectors.norm(vectors.triple("x", "y", "z")))
-    rows = rows.withColumn("_mid", robust.median("norm").over(w)).where((F.col("norm") > 0) & (F.abs(F.col("norm") - F.col("_mid")) / F.col("_mid") < cfg.norm_tolerance))
+    rows = plausible(rows.withColumn("norm", vectors.norm(vectors.triple("x", "y", "z"))), SEGMENT, cfg.norm_tolerance)
     rows = rows.withColumns({"ux": F.col("x") / F.col("norm"), "uy": F.col("y") / F.col("norm"), "uz": F.col("z") / F.col("norm")})
     rows = rows.withColumn("_early", F.col("us") < F.min("us").over(w) + int(cfg.direction_h * HOUR))
     rows = rows.withColumn("_early", F.col("_early") | (F.count_if("_early").over(w) < 50))
@@ -94,7 +135,7 @@ def projected(rows: DataFrame, cfg: TiltConfig = TiltConfig()) -> DataFrame:
     ref = ref.select(*SEGMENT, *[c.alias(n) for c, n in zip(mid, ("gx", "gy", "gz"), strict=True)])
     rows = rows.join(ref, SEGMENT)
     du, dv = vectors.tilt(vectors.triple("ux", "uy", "uz"), vectors.triple("gx", "gy", "gz"))
-    return rows.withColumns({"dev_u": du, "dev_v": dv}).drop("_first", "_n", "_mid", "_early")
+    return rows.withColumns({"dev_u": du, "dev_v": dv}).drop("_n", "_early")
 
 
 def tilt_windows(rows: DataFrame, cfg: TiltConfig = TiltConfig()) -> DataFrame:

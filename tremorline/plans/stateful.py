@@ -49,12 +49,6 @@ def level_detector(spark, sf):
     return trackers.detect_levels(sessions(spark, sf), NODE, N.LevelConfig(agree=40.0, floor=25.0), before=True)
 
 
-def baseline_comparator(spark, sf):
-    c = _cat()
-    rows = c._jumps(spark, sf).withColumn("hours", F.col("start_us") / float(c.HOUR))
-    return trackers.compare(rows.select("node", "hours", "x", "y", "z"), NODE, (5.0, 10.0, 20.0, 40.0))
-
-
 def readings(spark, sf) -> DataFrame:
     rows = _cat().ev(spark, sf)
     return rows.select("node", (F.col("us") / float(S.SECOND)).alias("t"), (F.col("value") - 50).alias("x"), (F.col("raw") - 50.0).alias("y"), F.lit(300.0).alias("z"))
@@ -161,18 +155,6 @@ def trend_interval(spark, sf):
     return rows.groupBy("node").applyInPandas(run, "node string, slope_day double, low double, high double, excludes_zero boolean")
 
 
-def theil_sen_whole(spark, sf):
-    """Theil-Sen slope over all sessions of each node; theil_sen_slope, which DuckDB checks, takes those its SQL names."""
-    rows = _cat().stab(spark, sf).select("node", "start_us", "u")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_us")
-        slope = models.sen_interval(pdf["start_us"].to_numpy(float) / float(_cat().HOUR), pdf["u"].to_numpy(float))[0]
-        return pd.DataFrame([{"node": pdf["node"].iloc[0], "sessions": len(pdf), "slope": round(slope, 6)}])
-
-    return rows.groupBy("node").applyInPandas(run, "node string, sessions long, slope double")
-
-
 def calibration_six_position(spark, sf):
     """Bias and scale recovered from synthetic captures in many positions, one of each event."""
     rows = _cat().ev(spark, sf).select(F.col("value") - 50, F.col("raw") - 50.0, F.when(F.col("event_id") % 2 == 0, 30.0).otherwise(-30.0)).toDF(*"xyz").dropna()
@@ -211,7 +193,7 @@ def alarm_references(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        step_tracker, load_tracker, level_detector, baseline_comparator, fast_alarm_replay, fast_alarm_stream, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
-        static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, theil_sen_whole, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
+        step_tracker, load_tracker, level_detector, fast_alarm_replay, fast_alarm_stream, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
+        static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
     )
 }
