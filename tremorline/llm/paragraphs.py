@@ -47,7 +47,7 @@ STEPS = ((1, 1), (1, 0), (0, 1), (2, 2), (2, 0), (0, 2), (2, 1), (1, 2), (3, 3))
 #: Shingles of whole keys that one step verifies, about.
 HELD = 400_000
 #: Shingles that one step of exact similarities compares, about.
-STEP = 2_000_000
+STEP = 500_000
 #: At most so many (paragraph, cluster) or (paragraph) rows are broadcast.
 SMALL = 200_000
 _SEEDS = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
