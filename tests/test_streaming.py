@@ -85,3 +85,47 @@ def test_replay_does_not_depend_on_partitions(spark, seed):
     cfg = N.AlarmConfig(event_deg=1.0)
     one = trackers.replay_alarms(df.repartition(1), ["node"], {"n": (0, 0, 1)}, cfg).collect()
     assert one == trackers.replay_alarms(df.repartition(7), ["node"], {"n": (0, 0, 1)}, cfg).collect()
+
+
+def slow_windows(rows, width, gap):
+    """(session start, window start, n, mean) of values in time order."""
+    out, session, last, win = [], None, None, None
+    for t, v in sorted(rows):
+        new = session is None or t - last > gap
+        session = t if new else session
+        if new or (t - session) // width != win:
+            out.append([session, t, []])
+        win, last = (t - session) // width, t
+        out[-1][2].append(v)
+    return sorted((a, b, len(v), round(float(np.mean(v)), 9)) for a, b, v in out)
+
+
+def test_windows_anchored_at_their_session(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    t = np.cumsum(rng.choice([5, 40, 200], 400, p=[0.6, 0.35, 0.05]))
+    rows = [(node, int(x) + shift, float(rng.normal())) for node, shift in (("a", 0), ("b", 7)) for x in t]
+    df = spark.createDataFrame(rows, "node string, s long, value double").select("node", F.timestamp_seconds("s").alias("ts"), "value", "s")
+    path = str(tmp_path / "in")
+    edges = [0, 2000, 4100, 6000, 10**6]
+    for a, b in zip(edges, edges[1:]):  # readings of one batch in any order
+        df.where((F.col("s") >= a) & (F.col("s") < b)).orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(path)
+    end = spark.createDataFrame([("z", 10**7, 0.0), ("z", 10**7 + 1, 0.0)], "node string, s long, value double").select("node", F.timestamp_seconds("s").alias("ts"), "value", "s")
+    end.coalesce(1).write.mode("append").parquet(path)
+    end.selectExpr("node", "ts + interval 1 day ts", "value", "s").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drained(alarms.anchored_windows(stream, "ts", "value"), "anchored")
+    for node in "ab":
+        got = sorted((int(r.start.timestamp()), int(r.window_start.timestamp()), r.n, round(r["mean"], 9)) for r in spark.table("anchored").where(F.col("node") == node).collect())
+        assert got == slow_windows([(s, v) for n, s, v in rows if n == node], 300, 120)
+
+
+def test_late_readings_are_left_out(spark, tmp_path):
+    df = readings(spark).where("node = 'a'")
+    path = str(tmp_path / "in")
+    files(df, path, (1090.0, 1210.0, 1300.0))
+    late = df.limit(40).select("node", (F.col("t") - 500).alias("t"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), "rearm")
+    late.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    drained(alarms.fast_alarms(stream, REFS), "late")
+    got = sorted(tuple(r) for r in spark.table("late").select("node", "t", "level", "angle_deg", "handling_like").collect())
+    assert got == sorted(tuple(r) for r in trackers.replay_alarms(df, ["node"], REFS).collect())

@@ -144,3 +144,85 @@ def inject(df: DataFrame, key: list[str], order: list[str], column: str, kind: s
     if kind not in changed:
         raise ValueError(f"unknown fault {kind}")
     return df.withColumn(column, F.when(F.col("_on"), changed[kind]).otherwise(value)).withColumn("injected", F.col("_on")).drop("_rn", "_n", "_on")
+
+
+def sensor_gate(df: DataFrame, key: list[str], spread: str, norm: str, share: float = 0.02, tolerance: float = 0.10) -> DataFrame:
+    """stuck: a window's spread far below its series' median; off_norm: its size away from the median size."""
+    w = W.partitionBy(*key)
+    df = df.withColumns({"_s": median(spread).over(w), "_m": median(norm).over(w)})
+    return df.withColumns({"stuck": F.col(spread) < F.greatest(F.lit(1e-6), share * F.col("_s")), "off_norm": F.abs(F.col(norm) - F.col("_m")) / F.col("_m") > tolerance}).drop("_s", "_m")
+
+
+def first_shift(sessions: DataFrame, key: list[str], order: list[str], channels: list[str], limit: float, first: int = 5) -> DataFrame:
+    """shift of each session from the median of the series' first ones, and alert, which holds from the first shift beyond the limit on."""
+    rows = sessions.withColumn("_k", F.row_number().over(ordered(key, order)))
+    rows = rows.withColumns({f"_r{c}": median(F.when(F.col("_k") <= first, F.col(c))).over(W.partitionBy(*key)) for c in channels})
+    rows = rows.withColumn("shift", F.sqrt(sum((F.pow(F.col(c) - F.col(f"_r{c}"), 2) for c in channels), F.lit(0.0))))
+    beyond = (F.col("_k") > first) & (F.col("shift") > limit)
+    return rows.withColumn("alert", F.max(beyond.cast("int")).over(ordered(key, order).rowsBetween(W.unboundedPreceding, 0)) == 1).drop("_k", *[f"_r{c}" for c in channels])
+
+
+def session_sigma(sessions: DataFrame, key: list[str], order: list[str], channels: list[str], scatter: str | None = None, floor: float = 0.02) -> DataFrame:
+    """Noise of session medians: from the steps between neighbours over all channels, and the scatter inside sessions (column n counts its windows)."""
+    w, whole = ordered(key, order), W.partitionBy(*key)
+    rows = sessions.withColumns({f"_d{c}": F.col(c) - F.lag(c).over(w) for c in channels})
+    rows = rows.withColumns({f"_o{c}": F.abs(F.col(f"_d{c}") - median(f"_d{c}").over(whole)) for c in channels})
+    between = F.sqrt(sum((F.pow(MAD * median(f"_o{c}"), 2) for c in channels), F.lit(0.0))) / F.sqrt(F.lit(2.0))
+    inside = [median(F.col(scatter) / F.sqrt(F.col("n")))] if scatter else []
+    return rows.groupBy(*key).agg(F.greatest(F.lit(floor), between, *inside).alias("sigma"), F.count(F.lit(1)).alias("n"))
+
+
+def diagnosed(sessions: DataFrame, key: list[str], order: list[str], channel: str, train: float = 0.70, held: float = 0.15) -> DataFrame:
+    """By split of each series in time: size, median, robust sigma, 95th percentile of the absolute value, and the smallest step seen at 3 sigma."""
+    q = (F.row_number().over(ordered(key, order)) - 1) / F.count(F.lit(1)).over(W.partitionBy(*key))
+    rows = sessions.withColumn("_q", q).withColumn("split", F.when(F.col("_q") < train, "train").when(F.col("_q") < train + held, "val").otherwise("test"))
+    rows = rows.withColumn("_off", F.abs(F.col(channel) - median(channel).over(W.partitionBy(*key, "split"))))
+    sigma = MAD * median("_off") + 1e-6
+    return rows.groupBy(*key, "split").agg(F.count(F.lit(1)).alias("sessions"), median(channel).alias("median"), sigma.alias("sigma"), F.percentile(F.abs(channel), 0.95).alias("p95"), (3 * sigma).alias("min_step"))
+
+
+def fused_score(load: Column, tilt: Column, mode: str = "max") -> Column:
+    """One score of two modalities: the larger, or their mean."""
+    if mode not in ("max", "weighted"):
+        raise ValueError(f"unknown mode {mode}")
+    return F.greatest(load, tilt) if mode == "max" else 0.5 * load + 0.5 * tilt
+
+
+def compensated(value: Column, k_inner: float, inner: Column, k_gradient: float, gradient: Column) -> Column:
+    """A channel without its temperature effects; where a temperature is missing, as it is."""
+    effect = (k_inner * inner + k_gradient * gradient).cast("double")
+    return value - F.coalesce(F.when(~F.isnan(effect), effect), F.lit(0.0))
+
+
+def plain_verdict(verdict: Column) -> Column:
+    """A verdict without the remark in brackets at its end."""
+    return F.regexp_replace(verdict, r" \(.*\)$", "")
+
+
+def biggest(df: DataFrame, key: list[str], name: str, size: str = "n") -> DataFrame:
+    """The largest part of each series and its size; of equal ones the first."""
+    return df.groupBy(*key).agg(F.max(F.struct(F.col(size).alias("n"), (-F.col(name)).alias("m"))).alias("_b")).select(*key, F.col("_b.n").alias("n"), (-F.col("_b.m")).alias(name))
+
+
+def means(df: DataFrame, key: list[str], value: str, healthy: Column) -> DataFrame:
+    """Mean, sample deviation and count of the healthy rows of each series."""
+    return df.where(healthy).groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
+
+
+def duplicates(df: DataFrame) -> DataFrame:
+    """Whole rows that occur several times, and how often."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def sequence(values: Column, size: int = 24) -> Column:
+    """An array's values at `size` even places from first to last, by linear interpolation, without their mean; two values at least."""
+    n = F.size(values)
+    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
+
+    def point(i: Column) -> Column:
+        at = i * (n - 1) / float(size - 1)
+        low = F.least(F.floor(at), n - 2).cast("int")
+        a, b = F.get(values, low), F.get(values, low + 1)
+        return a + (b - a) * (at - low) - mean
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), point)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .kernels import mad
 
@@ -139,6 +139,77 @@ def texture(windows: DataFrame, key: list[str], features: list[str], train: floa
     return windows.groupBy(*key).applyInPandas(run, schema)
 
 
+class NodeModel:
+    """A node's model over scaled window features: distance, in the full tier also a forest, with limits from windows held out of the fit.
+
+    The full tier uses the robust covariance, the light one, for nodes with little data, shrinkage.
+    """
+
+    def __init__(self, train: np.ndarray, held: np.ndarray, tier: str = "full", quantile: float = 0.995, seed: int = 0):
+        rng = np.random.default_rng(seed)
+        low, self.centre, high = np.quantile(train, [0.25, 0.5, 0.75], axis=0)
+        self.scale = np.where(high > low, high - low, 1.0)
+        z = (train - self.centre) / self.scale
+        try:
+            if tier != "full":
+                raise np.linalg.LinAlgError
+            self.mean, self.cov = robust_covariance(z, rng)
+        except np.linalg.LinAlgError:
+            self.mean, self.cov = z.mean(axis=0), shrunk_covariance(z)
+        self.forest = Forest(z, rng) if tier == "full" else None
+        self.limits = [float(np.quantile(s, quantile)) for s in self.scores(held if len(held) else train)]
+
+    def scores(self, x: np.ndarray) -> list[np.ndarray]:
+        z = (x - self.centre) / self.scale
+        return [distances(z, self.mean, self.cov), *([self.forest.score(z)] if self.forest else [])]
+
+
+def votes_status(sensor: Column, level: Column, detectors: int) -> Column:
+    """The status of a number of agreeing detectors, held for some windows; sensor faults come first."""
+    alarm = min(3, detectors)
+    warn = 2 if alarm > 2 else 99
+    return F.when(sensor, "SENSOR").when(level >= alarm, "ALARM").when(level >= warn, "WARNING").when(level >= 1, "WATCH").otherwise("OK")
+
+
+def scored_windows(windows: DataFrame, key: list[str], order: str, features: list[str], tier: str = "full", train: float = 0.6, held: float = 0.2) -> DataFrame:
+    """Windows with the scores and flags of their series' NodeModel: maha, flag_maha and, in the full tier, iso, flag_iso.
+
+    The first `train` of each series fits it, the next `held` sets its limits. Too short a series has null scores and no flags.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        x = pdf[features].to_numpy(float)
+        a, b = int(len(x) * train), int(len(x) * (train + held))
+        names = ["maha", "iso"][: 2 if tier == "full" else 1]
+        if a < 4 * len(features):
+            return pdf.assign(**{n: np.nan for n in names}, **{f"flag_{n}": False for n in names})
+        model = NodeModel(x[:a], x[a:b], tier)
+        found = list(zip(names, model.scores(x), model.limits, strict=True))
+        return pdf.assign(**{n: s for n, s, _ in found}, **{f"flag_{n}": s > limit for n, s, limit in found})
+
+    extra = ["maha double"] + (["iso double"] if tier == "full" else []) + ["flag_maha boolean"] + (["flag_iso boolean"] if tier == "full" else [])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema] + extra)
+    return windows.groupBy(*key).applyInPandas(run, schema)
+
+
+def region_rates(scored: DataFrame, key: list[str], fault: str, flags: list[str], status: str, after: str, order: str) -> DataFrame:
+    """Per series and case: how often each flag, any flag and the fused status fire in the region `after`, and the hours to the first fused one.
+
+    scored holds a copy of the windows for each case; the case without a fault gives the false alarms, over its own `after`.
+    """
+    fused = F.col(status).isin("WARNING", "ALARM", "SENSOR")
+    some = F.lit(False)
+    for c in flags:
+        some = some | F.coalesce(F.col(c), F.lit(False))
+    rows = scored.where(after)
+    out = rows.groupBy(*key, fault).agg(
+        *[F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(c) for c in flags], F.avg(fused.cast("double")).alias("fused"), F.avg(some.cast("double")).alias("any_flag"),
+        ((F.min(F.when(fused, F.col(order))) - F.min(order)) / 3.6e9).alias("delay_h"),
+    )
+    return out
+
+
 def autoencoder_errors(x: np.ndarray, healthy: np.ndarray, parts: int = 3) -> tuple[np.ndarray, float]:
     """Reconstruction errors of a linear autoencoder (principal components) and the limit mean + 4 sigma over healthy rows.
 
@@ -263,3 +334,65 @@ def sen_interval(x: np.ndarray, y: np.ndarray, level: float = 0.95) -> tuple[flo
     if not (found := ranked_slopes(x, y, ranks)):
         return float("nan"), float("nan"), float("nan")
     return (found[0] + found[1]) / 2, found[2], found[3]
+
+
+# MacKinnon's response surfaces for the residual test of two series with a constant (Journal of Applied Econometrics 11, 1996; critical values of 2010).
+COINT_CRITICAL = {0.01: (-3.89644, -10.9519, -22.527), 0.05: (-3.33613, -6.1101, -6.823), 0.10: (-3.04445, -4.2412, -2.720)}
+COINT_SMALL_P, COINT_LARGE_P = (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)
+COINT_LOWEST, COINT_TURN, COINT_HIGHEST = -18.86, -2.62, 0.92
+
+
+def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Coefficients, residual sum of squares and the inverse of the products."""
+    inverse = np.linalg.pinv(x.T @ x)
+    coef = inverse @ (x.T @ y)
+    return coef, float(((y - x @ coef) ** 2).sum()), inverse
+
+
+def cointegration(y: np.ndarray, x: np.ndarray) -> tuple[float, float, tuple[float, float, float]]:
+    """Engle-Granger: statistic, p-value and critical values (1, 5, 10 %) that the residual of y on x has a unit root.
+
+    Residuals are tested with lagged differences, as many as Akaike's criterion picks of up to 12 (n / 100) ** 0.25. NaN with too few rows.
+    """
+    y, x = np.asarray(y, float), np.asarray(x, float)
+    n = len(y)
+    critical = tuple(sum(c / (n - 1) ** k for k, c in enumerate(row)) for row in COINT_CRITICAL.values()) if n > 1 else (np.nan,) * 3
+    if n < 8:
+        return float("nan"), float("nan"), critical
+    base = np.column_stack([x, np.ones(n)])
+    left = y - base @ _least_squares(base, y)[0]
+    step = np.diff(left)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+
+    def design(lags: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.column_stack([left[skip:-1], *[step[skip - k : len(step) - k] for k in range(1, lags + 1)]]), step[skip:]
+
+    def criterion(lags: int) -> float:
+        a, b = design(lags, most)
+        return len(b) * np.log(max(_least_squares(a, b)[1], 1e-300) / len(b)) + 2 * a.shape[1]
+
+    lags = min(range(most + 1), key=criterion)
+    a, b = design(lags, lags)
+    coef, rss, inverse = _least_squares(a, b)
+    error = np.sqrt(rss / max(1, len(b) - a.shape[1]) * inverse[0, 0])
+    stat = float(coef[0] / error) if error > 0 else float("-inf")
+    if stat > COINT_HIGHEST:
+        return stat, 1.0, critical
+    if stat < COINT_LOWEST:
+        return stat, 0.0, critical
+    from statistics import NormalDist
+
+    return stat, NormalDist().cdf(sum(c * stat**k for k, c in enumerate(COINT_SMALL_P if stat <= COINT_TURN else COINT_LARGE_P))), critical
+
+
+def cointegrated(df: DataFrame, key: list[str], order: list[str], y: str, x: str) -> DataFrame:
+    """The test for each series: n, statistic, p_value and whether the residual is a valid index (p below 0.05)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = {k: pdf[k].iloc[0] for k in key}
+        pdf = pdf.sort_values(order, kind="stable").dropna(subset=[x, y])
+        stat, p, _ = cointegration(pdf[y].to_numpy(float), pdf[x].to_numpy(float))
+        return pd.DataFrame([{**name, "n": len(pdf), "statistic": stat, "p_value": p, "valid": bool(p < 0.05)}])
+
+    names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    return df.select(*dict.fromkeys([*key, *order, x, y])).groupBy(*key).applyInPandas(run, f"{names}, n long, statistic double, p_value double, valid boolean")

@@ -88,7 +88,7 @@ def hampel(df: DataFrame, key: list[str], order: list[str], column: str, width:
     """Outliers against the centred rolling median, replaced by it; edges without a full window are never outliers."""
     half = width // 2
     w = ordered(key, order).rowsBetween(-half, half)
-    full = F.count(F.lit(1)).over(w) == width
+    full = F.count(column).over(w) == width
     df = df.withColumn("_med", F.when(full, median(column).over(w))).withColumn("_diff", F.abs(F.col(column) - F.col("_med")))
     df = df.withColumn("_mad", F.when(F.count("_diff").over(w) == width, median("_diff").over(w)))
     df = df.withColumn("outlier", F.coalesce(F.col("_diff") > sigmas * MAD * F.col("_mad"), F.lit(False)))
@@ -197,11 +197,43 @@ def fault_flags(df: DataFrame, key: list[str], order: list[str], value: str, low
     return df.withColumn("any_fault", F.col("flatline") | F.col("saturated") | F.col("packet_loss"))
 
 
+def sample_flags(df: DataFrame, key: list[str], order: list[str], columns: list[str], ranges: dict[str, tuple[float, float]], step_s: float, us: str = "us", width: int = 20, tol: float = 1e-6, least_coherence: float = 0.3) -> DataFrame:
+    """Every sensor fault of each sample: `<c>_flatline` of all columns, `<c>_saturated` of those with a range, packet_loss, rtc_reset (the
+    device's clock is bad), rtc_error and channels_all_zero where the input has them, isolated_sensor_deviation (columns hardly move together), any_fault.
+
+    Nulls in the device's own flags count as no fault; so do windows that are not full yet.
+    """
+    w = ordered(key, order)
+    frame = w.rowsBetween(1 - width, 0)
+    off = F.lit(False)
+    flags = {}
+    for c in columns:
+        flags[f"{c}_flatline"] = F.coalesce((F.count(c).over(frame) == width) & (F.stddev_samp(c).over(frame) < tol), off)
+        if c in ranges:
+            flags[f"{c}_saturated"] = clip_saturated(c, *ranges[c])
+    flags["packet_loss"] = F.coalesce(F.col(us) - F.lag(us).over(w) > int(2 * step_s * SECOND), off)
+    for name, source in (("rtc_reset", "device_clock_bad"), ("rtc_error", "rtc_error"), ("channels_all_zero", "channels_all_zero")):
+        if source in df.columns:
+            flags[name] = F.coalesce(F.col(source).cast("boolean"), off)
+    if len(columns) > 1:
+        df = coherence(df, key, order, columns)
+        flags["isolated_sensor_deviation"] = F.coalesce(F.col("coherence") < least_coherence, off)
+    df = df.withColumns(flags)
+    any_fault = off
+    for name in flags:
+        any_fault = any_fault | F.col(name)
+    return df.withColumn("any_fault", any_fault)
+
+
 def coherence(df: DataFrame, key: list[str], order: list[str], columns: list[str], width: int = 50) -> DataFrame:
-    """Mean absolute rolling correlation over all pairs of columns; null until the window is full."""
+    """Mean absolute rolling correlation over all pairs of columns; null until the window is full, and while a column stands still in it."""
     w = ordered(key, order).rowsBetween(1 - width, 0)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    mean = sum((F.abs(F.corr(a, b).over(w)) for a, b in pairs), F.lit(0.0)) / len(pairs)
+
+    def corr(a: str, b: str) -> Column:
+        return F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w))
+
+    mean = sum((F.abs(corr(a, b)) for a, b in pairs), F.lit(0.0)) / len(pairs)
     return df.withColumn("coherence", F.when(F.count(F.lit(1)).over(w) == width, mean))
 
 

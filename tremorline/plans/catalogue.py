@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import robust, vectors
 from ..operators import features as X
-from ..operators import models, thermal, trackers
+from ..operators import models, preparation, thermal, trackers
 from ..operators import series as S
 from ..sources import packets, sinks
 from . import monitor
@@ -198,10 +198,11 @@ def clean_dedupe(spark, sf):
     return packets.first_of(twice, ["user_id", "us"]).select("node", "us", "event_id", "value")
 
 
-@query("duplicate_rows", """SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS copies FROM orders GROUP BY 1, 2, 3 HAVING count(*) > 1""")
+@query("duplicate_rows", """WITH o AS (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT * FROM orders WHERE o_orderkey % 15 = 0)
+SELECT *, count(*) AS copies FROM o GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_rows(spark, sf):
-    rows = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("copies"))
-    return rows.where("copies > 1")
+    rows = table(spark, sf, "orders")
+    return X.duplicates(rows.unionByName(rows.where("o_orderkey % 5 = 0")).unionByName(rows.where("o_orderkey % 15 = 0")))
 
 
 # Sessions, windows, segments -----------------------------------------------------------------------------------------
@@ -375,13 +376,8 @@ def reference_vector(spark, sf):
 s AS (SELECT q.*, sqrt((u - ru) * (u - ru) + (v - rv) * (v - rv)) AS shift FROM q JOIN ref USING (node))
 SELECT node, session, start_us, n, round(shift, 6) AS shift, max(CASE WHEN k > 5 AND shift > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY session ROWS UNBOUNDED PRECEDING) = 1 AS alert FROM s""")
 def session_shift_latched(spark, sf):
-    w = S.ordered(NODE, ["session"])
-    q = stab(spark, sf).where("n >= 3").withColumn("k", F.row_number().over(w))
-    first = W.partitionBy("node")
-    q = q.withColumns({f"r{c}": robust.median(F.when(F.col("k") <= 5, F.col(c))).over(first) for c in "uv"})
-    q = q.withColumn("shift", F.sqrt(F.pow(F.col("u") - F.col("ru"), 2) + F.pow(F.col("v") - F.col("rv"), 2)))
-    alert = S.latched((F.col("k") > 5) & (F.col("shift") > 40), NODE, ["session"])
-    return q.select("node", "session", "start_us", "n", r6("shift"), alert.alias("alert"))
+    rows = X.first_shift(stab(spark, sf).where("n >= 3"), NODE, ["session"], ["u", "v"], 40.0)
+    return rows.select("node", "session", "start_us", "n", r6("shift"), "alert")
 
 
 @query("persistence_filter", f"WITH {EV} SELECT event_id, min(CASE WHEN value > 40 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY us, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 1 AS held FROM ev")
@@ -483,9 +479,7 @@ def axis_coherence(spark, sf):
 SELECT node, session, win, sd < greatest(0.000001::DOUBLE, 0.02::DOUBLE * msd) AS stuck, abs(norm - mn) / mn > 0.10 AS off_norm FROM m""")
 def sensor_gate(spark, sf):
     a = win(spark, sf).groupBy("node", "session", "win").agg(F.avg("value").alias("norm"), F.stddev_pop("value").alias("sd"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    w = W.partitionBy("node")
-    a = a.withColumns({"msd": robust.median("sd").over(w), "mn": robust.median("norm").over(w)})
-    return a.select("node", "session", "win", (F.col("sd") < F.greatest(F.lit(1e-6), 0.02 * F.col("msd"))).alias("stuck"), (F.abs(F.col("norm") - F.col("mn")) / F.col("mn") > 0.10).alias("off_norm"))
+    return X.sensor_gate(a, NODE, "sd", "norm").select("node", "session", "win", "stuck", "off_norm")
 
 
 @query("load_event", f"""WITH {EV}, d AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY node ORDER BY us, event_id)) * 0.5::DOUBLE, 0) AS rate FROM ev)
@@ -574,9 +568,7 @@ def mad_sigma(spark, sf):
 @query("noise_sigma", f"""WITH {STAB}, q AS (SELECT *, u - lag(u) OVER (PARTITION BY node ORDER BY session) AS du FROM st WHERE n >= 2), m AS (SELECT *, median(du) OVER (PARTITION BY node) AS mu FROM q)
 SELECT node, round(greatest(0.02::DOUBLE, 1.4826::DOUBLE * median(abs(du - mu)) / sqrt(2.0::DOUBLE)), 6) AS sigma, count(*) AS n FROM m GROUP BY 1""")
 def noise_sigma(spark, sf):
-    rows = stab(spark, sf).where("n >= 2").withColumn("du", F.col("u") - F.lag("u").over(S.ordered(NODE, ["session"])))
-    rows = rows.withColumn("off", F.abs(F.col("du") - robust.median("du").over(W.partitionBy("node"))))
-    return rows.groupBy("node").agg(F.round(F.greatest(F.lit(0.02), robust.MAD * robust.median("off") / F.sqrt(F.lit(2.0))), 6).alias("sigma"), F.count(F.lit(1)).alias("n"))
+    return X.session_sigma(stab(spark, sf).where("n >= 2"), NODE, ["session"], ["u"]).select("node", r6("sigma"), "n")
 
 
 @query("quantile_threshold", f"WITH {EV} SELECT node, round(quantile_cont(value, 0.995), 6) AS threshold FROM ev GROUP BY 1")
@@ -669,12 +661,8 @@ def mahalanobis_score(spark, sf):
 p AS (SELECT *, CASE WHEN q < 0.70 THEN 'train' WHEN q < 0.85 THEN 'val' ELSE 'test' END AS split FROM k), m AS (SELECT *, median(u) OVER (PARTITION BY node, split) AS mu FROM p)
 SELECT node, split, count(*) AS sessions, round(median(u), 6) AS median_u, round(1.4826::DOUBLE * median(abs(u - mu)) + 0.000001::DOUBLE, 6) AS sigma_u, round(quantile_cont(abs(u), 0.95), 6) AS p95_u, round(3 * (1.4826::DOUBLE * median(abs(u - mu)) + 0.000001::DOUBLE), 6) AS min_step FROM m GROUP BY 1, 2""")
 def diagnose_split(spark, sf):
-    w = S.ordered(NODE, ["session"])
-    q = (F.row_number().over(w) - 1) / F.count(F.lit(1)).over(W.partitionBy("node"))
-    rows = stab(spark, sf).withColumn("q", q).withColumn("split", F.when(F.col("q") < 0.70, "train").when(F.col("q") < 0.85, "val").otherwise("test"))
-    rows = rows.withColumn("off", F.abs(F.col("u") - robust.median("u").over(W.partitionBy("node", "split"))))
-    sigma = robust.MAD * robust.median("off") + 1e-6
-    return rows.groupBy("node", "split").agg(F.count(F.lit(1)).alias("sessions"), r6(robust.median("u"), "median_u"), r6(sigma, "sigma_u"), r6(F.percentile(F.abs("u"), 0.95), "p95_u"), r6(3 * sigma, "min_step"))
+    rows = X.diagnosed(stab(spark, sf), NODE, ["session"], "u")
+    return rows.select("node", "split", "sessions", r6("median", "median_u"), r6("sigma", "sigma_u"), r6("p95", "p95_u"), r6("min_step"))
 
 
 # Status, sets, documents ---------------------------------------------------------------------------------------------------
@@ -722,7 +710,7 @@ def eval_pool(spark, sf):
 
 @query("biggest_segment", f"WITH {STAB} SELECT node, max(n) AS n, arg_max(session, n * 1000000 - session) AS session FROM st GROUP BY 1")
 def biggest_segment(spark, sf):
-    return stab(spark, sf).groupBy("node").agg(F.max("n").alias("n"), F.max_by("session", F.col("n") * 1000000 - F.col("session")).alias("session"))
+    return X.biggest(stab(spark, sf), NODE, "session")
 
 
 def _inject_sql(expr: str) -> str:
@@ -800,21 +788,20 @@ def history_union(spark, sf):
 
 @query("node_baseline", f"WITH {EV} SELECT node, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM ev WHERE us < epoch_us(TIMESTAMP '2024-01-08') GROUP BY 1")
 def node_baseline(spark, sf):
-    healthy = ev(spark, sf).where(F.col("us") < 1704672000 * S.SECOND)
-    return healthy.groupBy("node").agg(r6(F.avg("value"), "mean"), r6(F.stddev_samp("value"), "std"), F.count(F.lit(1)).alias("n"))
+    return X.means(ev(spark, sf), NODE, "value", F.col("us") < 1704672000 * S.SECOND).select("node", r6("mean"), r6("std"), "n")
 
 
 @query("vote_status", f"""WITH {EV}, v AS (SELECT event_id, raw, CAST(value > 100 AS INTEGER) + CAST(raw > 60 AS INTEGER) + CAST(value > 60 AND raw > 40 AS INTEGER) AS votes FROM ev)
 SELECT event_id, votes, CASE WHEN raw < 2 THEN 'SENSOR' WHEN votes >= 3 THEN 'ALARM' WHEN votes >= 2 THEN 'WARNING' WHEN votes >= 1 THEN 'WATCH' ELSE 'OK' END AS status FROM v""")
 def vote_status(spark, sf):
     votes = (F.col("value") > 100).cast("int") + (F.col("raw") > 60).cast("int") + ((F.col("value") > 60) & (F.col("raw") > 40)).cast("int")
-    v = F.col("votes")
-    return ev(spark, sf).withColumn("votes", votes).select("event_id", "votes", X.status([("SENSOR", F.col("raw") < 2), ("ALARM", v >= 3), ("WARNING", v >= 2), ("WATCH", v >= 1)]).alias("status"))
+    return ev(spark, sf).withColumn("votes", votes).select("event_id", "votes", models.votes_status(F.col("raw") < 2, F.col("votes"), 3).alias("status"))
 
 
 @query("fuse_decision", f"WITH {EV} SELECT event_id, greatest(value, raw::DOUBLE) AS strongest, round(0.5 * value + 0.5 * raw, 6) AS blended FROM ev")
 def fuse_decision(spark, sf):
-    return ev(spark, sf).select("event_id", F.greatest("value", F.col("raw").cast("double")).alias("strongest"), r6(0.5 * F.col("value") + 0.5 * F.col("raw"), "blended"))
+    load, tilt = F.col("value"), F.col("raw").cast("double")
+    return ev(spark, sf).select("event_id", X.fused_score(load, tilt).alias("strongest"), r6(X.fused_score(load, tilt, "weighted"), "blended"))
 
 
 @query("session_thermal_features", f"""WITH {SES}, t AS (SELECT i::DOUBLE AS x, 25 + 8 * sin(i * 2 * 3.141592653589793::DOUBLE / 24) + 3 * cos(i::DOUBLE / 100) AS y FROM range(720) r(i) WHERE i < 300 OR i > 309),
@@ -829,8 +816,7 @@ def session_thermal_features(spark, sf):
 
 @query("compensate_projection", f"WITH {EV} SELECT event_id, round(value - 0.05 * (raw - 50) - 0.01 * (raw - 40), 6) AS free FROM ev")
 def compensate_projection(spark, sf):
-    adjust = 0.05 * (F.col("raw") - 50) + 0.01 * (F.col("raw") - 40)
-    return ev(spark, sf).select("event_id", r6(F.col("value") - F.coalesce(robust.finite(adjust.cast("double")), F.lit(0.0)), "free"))
+    return ev(spark, sf).select("event_id", r6(X.compensated(F.col("value"), 0.05, F.col("raw") - 50, 0.01, F.col("raw") - 40), "free"))
 
 
 @query("local_clock", f"WITH {EV} SELECT event_id, strftime(make_timestamp(us) + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M') AS when_local FROM ev")
@@ -841,25 +827,59 @@ def local_clock(spark, sf):
 @query("verdict_counts", f"WITH {EV} SELECT regexp_replace(CASE WHEN raw % 3 = 0 THEN 'NOT_TEMP (no temperature data)' WHEN raw % 3 = 1 THEN 'NOT_TEMP' ELSE 'PARTLY_TEMP' END, ' \\(.*\\)$', '') AS verdict, count(*) AS n FROM ev GROUP BY 1")
 def verdict_counts(spark, sf):
     v = F.when(F.col("raw") % 3 == 0, "NOT_TEMP (no temperature data)").when(F.col("raw") % 3 == 1, "NOT_TEMP").otherwise("PARTLY_TEMP")
-    return ev(spark, sf).groupBy(F.regexp_replace(v, r" \(.*\)$", "").alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return ev(spark, sf).groupBy(X.plain_verdict(v).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("window_sequences", f"""WITH {WIN}, g AS (SELECT node, session, win, list(value ORDER BY us, event_id) AS v FROM win GROUP BY 1, 2, 3 HAVING count(*) >= 2)
-SELECT node, session, win, len(v) AS n, round(v[1] - list_avg(v), 6) AS first, round(v[len(v)] - list_avg(v), 6) AS last FROM g""")
+@query("window_sequences", f"""WITH {WIN}, g AS (SELECT node, session, win, list(value ORDER BY us, event_id) AS v FROM win GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+p AS (SELECT *, i * (len(v) - 1) / 23.0::DOUBLE AS pos FROM g CROSS JOIN range(24) r(i)), q AS (SELECT *, least(floor(pos), len(v) - 2)::BIGINT AS low FROM p)
+SELECT node, session, win, len(v) AS n, round(list_avg(v), 6) AS mean, i AS place, round(v[low + 1] + (v[low + 2] - v[low + 1]) * (pos - low) - list_avg(v), 5) AS value FROM q""")
 def window_sequences(spark, sf):
-    """Each window's values as a sequence of fixed length without its mean, by linear interpolation over rank."""
-    g = win(spark, sf).groupBy("node", "session", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", "value"))), lambda r: r["value"]).alias("v")).where("size(v) >= 2")
-    size = 24
-    g = g.withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"))
-
-    def point(i):
-        at = i * (F.size("v") - 1) / float(size - 1)
-        low = F.least(F.floor(at), F.size("v") - 2).cast("int")
-        a, b = F.get(F.col("v"), low), F.get(F.col("v"), low + 1)
-        return a + (b - a) * (at - low) - F.col("mean")
-
-    g = g.withColumn("seq", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), point))
-    return g.select("node", "session", "win", F.size("v").cast("bigint").alias("n"), r6(F.get("seq", F.lit(0)), "first"), r6(F.get("seq", F.lit(size - 1)), "last"))
+    """Each window's values as a sequence of fixed length without its mean."""
+    g = win(spark, sf).groupBy("node", "session", "win").agg(F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", "value"))), lambda r: r["value"]).alias("v"), F.avg("value").alias("mean")).where("size(v) >= 2")
+    rows = g.select("node", "session", "win", F.size("v").cast("bigint").alias("n"), r6("mean"), F.posexplode(X.sequence(F.col("v"))).alias("place", "value"))
+    return rows.select("node", "session", "win", "n", "mean", F.col("place").cast("bigint").alias("place"), F.round("value", 5).alias("value"))
+
+
+_ALL_FAULTS = f"""{EV}, c AS (SELECT *, floor(raw / 50)::DOUBLE AS q, value + 3 * raw AS w, raw > 90 AS device_clock_bad, CASE WHEN raw > 5 THEN raw % 13 = 0 END AS rtc_error, raw % 17 = 0 AS zero FROM ev),
+f AS (SELECT *, coalesce(count(*) OVER t = 4 AND stddev_samp(q) OVER t < 0.000001, false) AS q_flatline, coalesce(count(*) OVER t = 4 AND stddev_samp(value) OVER t < 0.000001, false) AS value_flatline, coalesce(count(*) OVER t = 4 AND stddev_samp(w) OVER t < 0.000001, false) AS w_flatline,
+  value <= 3 OR value >= 297 AS value_saturated, coalesce(us - lag(us) OVER o > 3600000000, false) AS packet_loss, coalesce(rtc_error, false) AS rtc,
+  CASE WHEN count(*) OVER h = 50 THEN (abs(corr(q, value) OVER h) + abs(corr(q, w) OVER h) + abs(corr(value, w) OVER h)) / 3 END AS co
+  FROM c WINDOW o AS (PARTITION BY node ORDER BY us, event_id), t AS (PARTITION BY node ORDER BY us, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), h AS (PARTITION BY node ORDER BY us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, coalesce(co < 0.45, false) AS alone FROM f)"""
+
+
+@query("sample_fault_flags", f"""WITH {_ALL_FAULTS} SELECT event_id, q_flatline, value_flatline, w_flatline, value_saturated, packet_loss, device_clock_bad AS rtc_reset, rtc AS rtc_error, zero AS channels_all_zero, alone AS isolated_sensor_deviation,
+  q_flatline OR value_flatline OR w_flatline OR value_saturated OR packet_loss OR device_clock_bad OR rtc OR zero OR alone AS any_fault FROM g""")
+def sample_fault_flags(spark, sf):
+    rows = ev(spark, sf).withColumns({"q": F.floor(F.col("raw") / 50).cast("double"), "w": F.col("value") + 3 * F.col("raw"), "device_clock_bad": F.col("raw") > 90, "rtc_error": F.when(F.col("raw") > 5, F.col("raw") % 13 == 0), "channels_all_zero": F.col("raw") % 17 == 0})
+    out = S.sample_flags(rows, NODE, ORDER, ["q", "value", "w"], {"value": (0.0, 300.0)}, 1800, width=4, least_coherence=0.45)
+    return out.select("event_id", "q_flatline", "value_flatline", "w_flatline", "value_saturated", "packet_loss", "rtc_reset", "rtc_error", "channels_all_zero", "isolated_sensor_deviation", "any_fault")
+
+
+@query("single_fault_view", f"""WITH {STAB}, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY start_us) - 1 AS i, count(*) OVER (PARTITION BY node) AS c, CASE WHEN u > 75 THEN 'ALARM' WHEN u > 60 THEN 'WARNING' ELSE 'OK' END AS status FROM st),
+o AS (SELECT node, min(i) AS oi, arg_min(start_us, i) AS ous FROM r WHERE i >= floor(c * 0.5) GROUP BY 1), h AS (SELECT r.node, min(i) AS i, arg_min(status, i) AS status, arg_min(start_us, i) AS us FROM r JOIN o USING (node) WHERE i >= oi AND status <> 'OK' GROUP BY 1)
+SELECT r.node, count(*) AS windows, max(oi) AS onset_window, max(h.i) IS NOT NULL AS detected, max(h.i) AS "window", max(h.status) AS status, round(max((h.us - ous) / 3600000000.0::DOUBLE), 6) AS delay_h, count(*) FILTER (r.i >= oi - 10 AND r.i < oi + 20) AS shown FROM r JOIN o USING (node) LEFT JOIN h USING (node) GROUP BY 1""")
+def single_fault_view(spark, sf):
+    rows = stab(spark, sf).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("node")))
+    onset = F.row_number().over(S.ordered(NODE, ["start_us"])) - 1 >= F.floor(F.col("c") * 0.5)
+    verdict, view = preparation.single_fault(rows, NODE, X.status([("ALARM", F.col("u") > 75), ("WARNING", F.col("u") > 60)]), onset)
+    shown = view.groupBy("node").agg(F.count(F.lit(1)).alias("shown"))
+    return verdict.join(shown, "node", "left").select("node", "windows", F.col("onset_window").cast("bigint").alias("onset_window"), "detected", F.col("window").cast("bigint").alias("window"), "status", r6("delay_h"), "shown")
+
+
+@query("fault_region_rates", f"""WITH {STAB}, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY start_us) - 1 AS i, count(*) OVER (PARTITION BY node) AS c FROM st),
+x AS (SELECT node, start_us, kind, u + CASE WHEN kind = 'step' THEN 30 ELSE 0 END AS u, v * CASE WHEN kind = 'noise' THEN 2 ELSE 1 END AS v FROM r CROSS JOIN (VALUES ('clean'), ('step'), ('noise')) k(kind) WHERE i >= floor(c / 3)),
+s AS (SELECT *, u > 75 AS flag_u, v > 80 AS flag_v, CASE WHEN u > 75 AND v > 80 THEN 'ALARM' WHEN u > 90 THEN 'WARNING' ELSE 'OK' END AS status FROM x)
+SELECT node, kind AS fault, round(avg(flag_u::INTEGER), 6) AS flag_u, round(avg(flag_v::INTEGER), 6) AS flag_v, round(avg(CASE WHEN status <> 'OK' THEN 1 ELSE 0 END), 6) AS fused, round(avg((flag_u OR flag_v)::INTEGER), 6) AS any_flag,
+  round((min(CASE WHEN status <> 'OK' THEN start_us END) - min(start_us)) / 3600000000.0::DOUBLE, 6) AS delay_h FROM s GROUP BY 1, 2""")
+def fault_region_rates(spark, sf):
+    rows = stab(spark, sf).withColumns({"i": F.row_number().over(S.ordered(NODE, ["start_us"])) - 1, "c": F.count(F.lit(1)).over(W.partitionBy("node"))})
+    rows = rows.withColumn("post", F.col("i") >= F.floor(F.col("c") / 3)).withColumn("fault", F.explode(F.array(*[F.lit(k) for k in ("clean", "step", "noise")])))
+    rows = rows.withColumns({"u": F.col("u") + F.when(F.col("fault") == "step", 30).otherwise(0), "v": F.col("v") * F.when(F.col("fault") == "noise", 2).otherwise(1)})
+    rows = rows.withColumns({"flag_u": F.col("u") > 75, "flag_v": F.col("v") > 80})
+    rows = rows.withColumn("status", X.status([("ALARM", F.col("flag_u") & F.col("flag_v")), ("WARNING", F.col("u") > 90)]))
+    out = models.region_rates(rows, NODE, "fault", ["flag_u", "flag_v"], "status", "post", "start_us")
+    return out.select("node", "fault", r6("flag_u"), r6("flag_v"), r6("fused"), r6("any_flag"), r6("delay_h"))
 
 
 from . import stateful  # noqa: E402

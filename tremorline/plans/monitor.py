@@ -192,11 +192,10 @@ def window_status(windows: DataFrame, tracked: DataFrame, cfg: TiltConfig = Tilt
     """Each window's status from its session's state, the texture model and the sensor gate."""
     scored = models.texture(windows, SEGMENT, ["slope_u", "slope_v", "log_std"], 1.0)
     rows = scored.join(tracked.select(*SEGMENT, "session", "state"), [*SEGMENT, "session"], "left")
-    w = W.partitionBy(*SEGMENT)
-    rows = rows.withColumns({"_s": robust.median("acc_std_max").over(w), "_n": robust.median("norm").over(w)})
-    sensor = (F.col("acc_std_max") < F.greatest(F.lit(1e-6), 0.02 * F.col("_s"))) | (F.abs(F.col("norm") - F.col("_n")) / F.col("_n") > cfg.norm_gate)
+    rows = X.sensor_gate(rows, SEGMENT, "acc_std_max", "norm", tolerance=cfg.norm_gate)
+    sensor = F.col("stuck") | F.col("off_norm")
     status = X.status([("SENSOR", sensor), ("ALARM", F.col("state").isin("EVENT", "ALARM")), ("DRIFT", F.col("state") == "DRIFT"), ("WARNING", F.col("flag"))])
-    return rows.withColumn("status", status).drop("_s", "_n")
+    return rows.withColumn("status", status).drop("stuck", "off_norm")
 
 
 def tilt(rows: DataFrame, cfg: TiltConfig = TiltConfig()) -> dict[str, DataFrame]:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import robust
 from ..operators import kernels as N
-from ..operators import models, signal, thermal, trackers
+from ..operators import features as X
+from ..operators import models, preparation, signal, thermal, trackers
 from ..operators import series as S
 
 NODE = ["node"]
@@ -138,6 +139,46 @@ def dominant_frequency(spark, sf):
     return signal.spectra(_cat().ev(spark, sf).select("node", "us", "value"), NODE, "us", "value", 1.0, 64)
 
 
+def _prepared(spark, sf):
+    """All events as a node's axes through the whole preparation, healthy in the first half of each node's rows."""
+    rows = readings(spark, sf).select("node", (F.col("t") * S.SECOND).cast("bigint").alias("us"), "x", "y", "z").withColumn("heat", F.sin(F.col("us") / 1.3e10))
+    rows = rows.withColumn("healthy", F.percent_rank().over(S.ordered(NODE, ["us"])) < 0.5)
+    turn = ((1.0, 0.0, 0.0), (0.0, 0.8, -0.6), (0.0, 0.6, 0.8))
+    how = preparation.Preparation(rate=4.0, accel=("x", "y", "z"), bias=(0.5, -0.5, 1.0), scale=(1.01, 0.99, 1.0), rotation=turn, ranges={"rot_x_cal": (-50.0, 250.0)}, step_s=1800.0, spectrum=32)
+    return preparation.prepare(rows, NODE, ["us", "x", "y"], "RFM", how, F.col("healthy"), "heat")
+
+
+def prepared_rows(spark, sf):
+    return _prepared(spark, sf)["rows"].drop("x", "y", "z", "heat")
+
+
+def prepared_faults(spark, sf):
+    return _prepared(spark, sf)["faults"].groupBy("node").agg(F.count_if("any_fault").alias("faults"), F.count_if("packet_loss").alias("lost"), F.count_if("rot_x_cal_saturated").alias("saturated"))
+
+
+def prepared_baseline(spark, sf):
+    return _prepared(spark, sf)["baseline"]
+
+
+def prepared_features(spark, sf):
+    return _prepared(spark, sf)["features"]
+
+
+def cointegration_test(spark, sf):
+    return models.cointegrated(_cat().ev(spark, sf).withColumn("raw", F.col("raw").cast("double")), NODE, ["us", "event_id"], "value", "raw")
+
+
+def node_model(spark, sf):
+    """Windows of each node against a model of its first ones, the session shift as another vote, held for two windows."""
+    c = _cat()
+    rows = c.win(spark, sf).groupBy("node", "session", "win").agg(F.min("us").alias("start_us"), F.avg("value").alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("std"), F.avg("raw").alias("norm"))
+    scored = models.scored_windows(rows, NODE, "start_us", ["mean", "std", "norm"])
+    shifts = X.first_shift(c.stab(spark, sf).where("n >= 3"), NODE, ["session"], ["u", "v"], 40.0).select("node", "session", "alert")
+    scored = scored.join(shifts, ["node", "session"], "left").withColumn("votes", F.col("flag_maha").cast("int") + F.coalesce(F.col("alert"), F.lit(False)).cast("int"))
+    held = F.min("votes").over(S.ordered(NODE, ["start_us"]).rowsBetween(-1, 0))
+    return X.sensor_gate(scored, NODE, "std", "norm").withColumn("status", models.votes_status(F.col("stuck"), held, 2)).select("node", "session", "win", "maha", "iso", "flag_maha", "flag_iso", "votes", "status")
+
+
 def stream_alignment(spark, sf):
     rows = _cat().ev(spark, sf).select("node", "us", "value")
     moved = rows.withColumn("i", F.row_number().over(W.partitionBy("node").orderBy("us"))).where("i > 7").drop("i")
@@ -194,6 +235,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         step_tracker, load_tracker, level_detector, fast_alarm_replay, fast_alarm_stream, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
-        static_dynamic_split, dominant_frequency, stream_alignment, trend_interval, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
+        static_dynamic_split, dominant_frequency, prepared_rows, prepared_faults, prepared_baseline, prepared_features, cointegration_test, node_model, stream_alignment, trend_interval, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
     )
 }
