@@ -66,3 +66,46 @@ def test_dashboard_sink(spark, tmp_path):
     assert [x["at"] for x in docs["a"]["session_rows"]] == [1, 2] and docs["a"]["session_rows"][0].get("u") is None and docs["b"]["session_rows"] == [] and docs["a"]["event_rows"] == []
     sinks.write_table(rows, str(tmp_path / "t"), "csv")
     assert sinks.read_table(spark, str(tmp_path / "t"), "segment string, at int, u double").count() == 2
+
+
+def test_fetch_replaces_the_file_whole(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    answers = ["result,table,_time,_measurement,device,value\r\n,0,2024-01-01T00:00:00Z,m,RFM,\"a,b\"\r\n\r\nresult,table,_time,_measurement,extra\r\n,1,2024-01-02T00:00:00Z,m,7\r\n", "\r\n"]
+    asked = []
+
+    class Store(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, self.headers["Authorization"], self.rfile.read(int(self.headers["Content-Length"])).decode()))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answers.pop(0).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    own = settings.StoreSettings(f"http://127.0.0.1:{server.server_port}/", "secret", "my org", "b")
+    path = tmp_path / "new" / "raw.csv"
+    assert settings.fetch(own, str(path), "-1h") == 2
+    text = path.read_text()
+    assert text.splitlines() == ["device,extra,measurement,time,value", 'RFM,,m,2024-01-01T00:00:00Z,"a,b"', ",7,m,2024-01-02T00:00:00Z,"]
+    with pytest.raises(RuntimeError):
+        settings.fetch(own, str(path))
+    assert path.read_text() == text and not path.with_suffix(".tmp").exists()
+    assert asked[0][0] == "/api/v2/query?org=my%20org" and asked[0][1] == "Token secret" and "-1h" in asked[0][2]
+    server.shutdown()
+
+
+def test_jdbc_load_is_idempotent(spark):
+    from pyspark.sql import functions as F
+
+    url, driver = "jdbc:derby:memory:loads;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    sinks.execute(spark, url, 'CREATE TABLE records (id INT GENERATED ALWAYS AS IDENTITY, "time" TIMESTAMP, "measurement" VARCHAR(256), "data" VARCHAR(32000))', driver=driver)
+    rows = spark.range(50).select(F.timestamp_seconds(F.col("id") % 40).alias("time"), F.lit("m").alias("measurement"), F.concat(F.lit('{"a":'), (F.col("id") % 40).cast("string"), F.lit("}")).alias("data"))
+    assert sinks.load_jdbc(rows.limit(30), url, "records", driver=driver) == 30
+    assert sinks.load_jdbc(rows, url, "records", driver=driver) == 10
+    assert sinks.load_jdbc(rows.unionByName(rows), url, "records", driver=driver) == 0
+    assert spark.read.format("jdbc").options(url=url, dbtable="records", driver=driver).load().count() == 40

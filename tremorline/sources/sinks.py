@@ -27,11 +27,38 @@ def new_records(records: DataFrame, loaded: DataFrame) -> DataFrame:
     return records.dropDuplicates(["time", "measurement", "data"]).join(loaded, ["time", "measurement", "data"], "left_anti")
 
 
-def load_jdbc(records: DataFrame, url: str, table: str, page: int = 1000, **options: str) -> None:
-    """Append the new records in batches; Spark commits per partition, and the anti-join makes a retry harmless."""
-    spark = records.sparkSession
-    loaded = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().select("time", "measurement", "data")
-    new_records(records, loaded).write.mode("append").format("jdbc").options(url=url, dbtable=table, batchsize=str(page), **options).save()
+#: One statement, so it is done whole or not at all; names are quoted as Spark's writer creates them.
+MERGE = """INSERT INTO {table} ("time", "measurement", "data") SELECT DISTINCT s."time", s."measurement", {cast} FROM {staging} s
+WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE t."time" = s."time" AND t."measurement" = s."measurement" AND t."data" = {cast})"""
+
+
+def execute(spark: SparkSession, url: str, statement: str, **options: str) -> int:
+    """Run one statement on the driver's connection to a database; the rows it changed."""
+    jvm = spark.sparkContext._jvm
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"])
+    props = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            props.setProperty(name, options[name])
+    link = jvm.java.sql.DriverManager.getConnection(url, props)
+    try:
+        return link.createStatement().executeUpdate(statement)
+    finally:
+        link.close()
+
+
+def load_jdbc(records: DataFrame, url: str, table: str, page: int = 1000, cast: str = 's."data"', types: str = "measurement VARCHAR(256), data VARCHAR(32000)", **options: str) -> int:
+    """Load the records that the table does not hold yet; how many these are.
+
+    All are written to a staging table, which a repeated load replaces; one statement in the database then takes the distinct new
+    ones. A task that is retried after its partition was committed therefore adds nothing, and the table is never read by Spark. cast
+    turns a staged text into the table's own type, such as `s."data"::jsonb`.
+    """
+    staging = f"{table}_staging"
+    rows = records.select("time", "measurement", "data").dropDuplicates()
+    rows.write.mode("overwrite").format("jdbc").options(url=url, dbtable=staging, batchsize=str(page), createTableColumnTypes=types, **options).save()
+    return execute(records.sparkSession, url, MERGE.format(table=table, staging=staging, cast=cast), **options)
 
 
 CREATE = "CREATE TABLE IF NOT EXISTS {table} (id BIGSERIAL PRIMARY KEY, time TIMESTAMPTZ NOT NULL, measurement TEXT NOT NULL, data JSONB NOT NULL)"
