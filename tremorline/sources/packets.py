@@ -33,6 +33,11 @@ def _tokens(value: Column) -> Column:
     return F.transform(F.split(body, ","), lambda t: F.trim(t))
 
 
+def _once(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns as one generated row: later steps read them instead of each repeating their expressions."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
 def parse(df: DataFrame, value: str = "value", device: str = "device") -> DataFrame:
     """df with the columns of one parsed packet; pieces are told by their shape, not their place.
 
@@ -41,6 +46,7 @@ def parse(df: DataFrame, value: str = "value", device: str = "device") -> DataFr
     """
     rfl = F.col(device) == "RFL"
     df = df.withColumn("_t", _tokens(F.col(value))).withColumn("_ok", F.col(value).isNotNull() & (F.length(F.regexp_replace(F.trim(value), '^"+|"+$', "")) > 0))
+    df = _once(df, ["_t", "_ok"])
     token = lambda i: F.get(F.col("_t"), i)
     df = df.withColumn("_r0", F.coalesce(token(F.lit(0)).rlike(RTC_ERROR), F.lit(False)))
     df = df.withColumn("_id", ~F.col("_r0") & F.coalesce(token(F.lit(0)).rlike("^[A-Za-z]"), F.lit(False)))
@@ -50,16 +56,17 @@ def parse(df: DataFrame, value: str = "value", device: str = "device") -> DataFr
     here, after = token(F.col("_at")), token(F.col("_at") + 1)
     dated = ~(F.col("_r0") | F.col("_r1")) & F.coalesce(here.rlike(DATE), F.lit(False))
     split = dated & ~here.contains(" ") & F.coalesce(after.rlike(CLOCK), F.lit(False))
-    df = df.withColumns({"_dated": dated, "_split": split})
+    df = _once(df.withColumns({"_dated": dated, "_split": split}), ["_r0", "_id", "_r1", "_at", "_dated", "_split"])
     df = df.withColumn("device_time_raw", F.when(F.col("_ok") & F.col("_split"), F.concat_ws(" ", here, after)).when(F.col("_ok") & F.col("_dated"), here))
     df = df.withColumn("_body", F.slice("_t", F.col("_at") + 1 + F.col("_dated").cast("int") + F.col("_split").cast("int"), F.size("_t")))
     df = df.withColumn("_cell", F.array_position(F.transform("_body", lambda t: t.rlike(CELL)), True).cast("int"))
+    df = _once(df, ["_body", "_cell"])
     has = rfl & (F.col("_cell") > 0)
     front = F.when(rfl, F.when(has, F.slice("_body", 1, F.col("_cell") - 1)).otherwise(F.col("_body"))).otherwise(F.slice("_body", 1, 9))
     df = df.withColumn("_front", front)
     last = F.size("_front") - F.coalesce(F.array_position(F.transform(F.reverse("_front"), lambda t: t != ""), True), F.lit(0)) + 1
     df = df.withColumn("_front", F.when(rfl, F.when(F.exists("_front", lambda t: t != ""), F.slice("_front", 1, last.cast("int"))).otherwise(F.slice("_front", 1, 0))).otherwise(F.col("_front")))
-    df = df.withColumn("_v", F.transform("_front", lambda t: parsed_double(t)))
+    df = _once(df.withColumn("_v", F.transform("_front", lambda t: parsed_double(t))), ["_front", "_v"])
     zero = (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNull() | (x == 0))
     nine, legacy = F.size("_v") == 9, rfl & (F.size("_v") > 9) & zero
     df = df.withColumns({
@@ -70,7 +77,7 @@ def parse(df: DataFrame, value: str = "value", device: str = "device") -> DataFr
     })
     tail = F.filter(F.slice("_body", F.greatest(F.col("_cell"), F.lit(1)), F.size("_body")), lambda t: t != "")
     df = df.withColumn("_tail", F.when(has, F.concat_ws(",", tail)).otherwise(F.lit("")))
-    df = df.withColumn("_cells", F.regexp_extract("_tail", ALL_CELLS, 1))
+    df = _once(df.withColumn("_cells", F.regexp_extract("_tail", ALL_CELLS, 1)), ["_tail", "_cells"])
     part = lambda k: F.regexp_extract_all("_cells", F.lit(ONE_CELL), F.lit(k))
     cells = F.transform(
         F.arrays_zip(part(1).alias("l"), part(2).alias("r"), part(3).alias("s"), part(4).alias("k")),
@@ -79,6 +86,7 @@ def parse(df: DataFrame, value: str = "value", device: str = "device") -> DataFr
         ),
     )
     df = df.withColumn("load_cells", F.when(F.col("_ok") & rfl, cells)).withColumn("_rest", F.expr("substring(_tail, length(_cells) + 1)"))
+    df = _once(df, ["load_cells", "_rest"])
     counter = F.col("_rest").rlike(NUMBER)
     df = df.withColumns({
         "packet_counter": F.when(F.col("_ok") & rfl & counter, F.trim("_rest").try_cast("int")),
@@ -120,6 +128,7 @@ def legacy_parse_error(df: DataFrame, value: str = "value", device: str = "devic
     """What an older audit calls an error: fewer than nine fields after sensor and date, or load-cell fields that are not
     label:raw and weight pairs with at most one counter. It knows no clock errors and no triplets."""
     df = df.withColumn("_t", F.split(F.regexp_replace(F.trim(value), '^"+|"+$', ""), ","))
+    df = _once(df, ["_t", "_ok"])
     token = lambda i: F.get(F.col("_t"), i)
     df = df.withColumn("_i", F.coalesce(token(F.lit(0)).rlike("^[A-Za-z]"), F.lit(False)).cast("int"))
     dated = F.coalesce(token(F.col("_i")).rlike(DATE), F.lit(False))
