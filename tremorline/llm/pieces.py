@@ -10,7 +10,8 @@ after another character, and none holds a line break, so texts are cut at those
 words, are each encoded once per worker and kept in a bounded table. A space symbol in the text itself is an unknown character, so
 decoding returns every text exactly.
 
-Defined results: null text gives null ids and 0 tokens; empty text gives no ids. Extra columns stay untouched.
+Defined results: null text gives null ids and 0 tokens; empty text gives no ids; very long texts are encoded whole; repeated rows get a row each;
+an empty table gives none. `encode` keeps extra columns, but for any named token_ids or n_tokens, which it writes anew.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textkit as K
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file, where neither the call nor the session setting `SETTING` names one.
+MODEL, SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tremorline.pieces.model"
 SPACE, KEEP = "▁", 300_000
 UNKNOWN_LESS = 10.0
 
@@ -141,9 +143,9 @@ def _coder(shared) -> Coder:
     return _coders[key]
 
 
-def _share(spark: SparkSession, path: str):
+def _share(spark: SparkSession, path: str | None):
     K.ship(spark)
-    vocabulary = load(path)
+    vocabulary = load(path or spark.conf.get(SETTING, MODEL))
     return spark.sparkContext.broadcast((hashlib.sha1(repr(vocabulary).encode()).hexdigest(), vocabulary))
 
 
@@ -153,7 +155,7 @@ def _lists(rows: list[bytes], nulls: list[bool]) -> tuple[pa.Array, np.ndarray]:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)), mask=pa.array(nulls)), sizes
 
 
-def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
     """All columns of docs, then token_ids (array<int>) and n_tokens, in one narrow pass."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -177,7 +179,7 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFr
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "token_ids", "n_tokens")
 
 
-def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
+def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, token_ids and the decoded text of each id list."""
     shared = _share(tokens.sparkSession, path)
 
@@ -194,7 +196,7 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", "token_ids").mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, token_ids, and the decoded text's length and SHA-256 (null where the text is null)."""
     out = decode(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path), path)
     return out.select("doc_id", "n_tokens", "token_ids", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"))

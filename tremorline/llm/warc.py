@@ -12,7 +12,8 @@ before the chunked framing is decoded. Records that came in one piece carry no p
 
 Defined results: a null html is empty and a null url omitted. Rows that share a page_id are all written (their record
 identifiers get a suffix), and of equal payloads all rows with the largest page_id are responses; a null page_id counts as
-the smallest and reads back as null. Incomplete or damaged records read back with complete = false and null payload columns.
+the smallest and reads back as null. Very long pages are segmented and read back whole; an empty table gives no records; extra columns
+are ignored. Incomplete or damaged records read back with complete = false and null payload columns.
 """
 
 from __future__ import annotations
