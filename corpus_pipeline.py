@@ -1,13 +1,12 @@
 """The corpus pipeline: five stages over `documents`, each on all that its predecessor kept.
 
 STAGES lists (name, function of (spark, docs, sf_dir)); each result is written as Parquet and read back as the next
-stage's docs. All but the last return the columns of documents; the last adds token_ids and n_tokens.
+stage's docs. All but the last return the columns of documents; the last adds token_ids and n_tokens. The written tables and those
+of the operators stay until `textkit.discard`, for the result reads them.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tremorline.llm import langid, mixing, paragraphs, pieces, simhash
@@ -32,7 +31,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    path = f"{K.checkpoint_dir(spark)}/tremorline/pipeline-{uuid.uuid4().hex}"
+    path = K.fresh(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
