@@ -44,7 +44,7 @@ def test_slopes_over_all_sessions(spark, late):
     (one,) = catalogue.QUERIES["theil_sen_slope"](spark, late).collect()
     assert one.slope == pytest.approx(np.median(slopes(x / 3.6e9, y)), abs=1e-6)
     (two,) = catalogue.QUERIES["trend_interval"](spark, late).collect()
-    assert two.slope_day == pytest.approx(np.median(slopes(x / 8.64e10, y)), rel=1e-9)
+    assert two.slope_day == pytest.approx(np.median(slopes(x / 8.64e10, y)), abs=1e-6)
 
 
 @pytest.mark.parametrize("tied", [False, True])

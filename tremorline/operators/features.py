@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.robust import MAD, median
-from .series import SECOND, ordered
+from .series import BUCKET_S, SECOND, ordered
 
 
 def window_features(df: DataFrame, key: list[str], value: str, least: int, us: str = "us") -> DataFrame:
@@ -100,18 +100,31 @@ def mahalanobis(values: list[Column], centre: list[float], inverse: list[list[fl
     return F.sqrt(sum((off[i] * off[j] * inverse[i][j] for i in range(len(off)) for j in range(len(off))), F.lit(0.0)))
 
 
+def intervals(df: DataFrame, key: list[str], us: str = "us", bucket_s: int = BUCKET_S) -> DataFrame:
+    """(key, dt): seconds between neighbouring samples of each series, dealt by key and day; one row per day bridges to the day before."""
+    part = [*key, "_bucket"]
+    rows = df.where(F.col(us).isNotNull()).select(*key, F.col(us).alias("_us")).withColumn("_bucket", F.floor(F.col("_us") / F.lit(bucket_s * SECOND)).cast("long"))
+    inside = rows.select(*key, (F.col("_us") - F.lag("_us").over(ordered(part, ["_us"]))).alias("_d"))
+    days = rows.groupBy(*part).agg(F.min("_us").alias("_a"), F.max("_us").alias("_z"))
+    between = days.select(*key, (F.col("_a") - F.lag("_z").over(ordered(key, ["_bucket"]))).alias("_d"))
+    return inside.unionByName(between).where("_d is not null").select(*key, (F.col("_d") / float(SECOND)).alias("dt"))
+
+
 def audit(df: DataFrame, key: list[str], us: str = "us", error: str = "parse_error", bad_clock: str = "device_clock_bad", zero: str = "channels_all_zero") -> DataFrame:
-    """Stream health per key: rates, span, median interval, long gaps and duplicate times. An empty key is the whole stream."""
-    base = df if key else df.withColumn("_all", F.lit(1))
-    part = key or ["_all"]
-    rows = base.withColumn("_dt", (F.col(us) - F.lag(us).over(W.partitionBy(*part).orderBy(us))) / float(SECOND))
-    mid = rows.groupBy(*part).agg(median("_dt").alias("_mid"))
-    out = rows.join(mid, part).groupBy(*part).agg(
+    """Stream health per key: rates, span, median interval, long gaps and duplicate times. An empty key is the whole stream, which no task orders alone."""
+    base = (df if key else df.withColumn("_all", F.lit(1))).withColumns({f"_k{i}": F.col(c) for i, c in enumerate(key or ["_all"])})
+    names = [f"_k{i}" for i in range(len(key or ["_all"]))]
+    dt = intervals(base, names, us)
+    mid = dt.groupBy(*names).agg(median("dt").alias("median_dt_s")).withColumnsRenamed({n: f"{n}m" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"{n}m")) for n in names]
+    gaps = dt.join(mid, same).groupBy(*names, "median_dt_s").agg(F.count_if(F.col("dt") > 10 * F.col("median_dt_s")).alias("n_gaps")).withColumnsRenamed({n: f"{n}m" for n in names})
+    whole = base.groupBy(*names).agg(
         F.count(F.lit(1)).alias("rows"), *[F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(f"{c}_rate") for c in (error, bad_clock, zero)],
-        F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.max("_mid").alias("median_dt_s"), F.count_if(F.col("_dt") > 10 * F.col("_mid")).alias("n_gaps"),
-        (F.count(us) - F.countDistinct(us)).alias("n_duplicate_times"),
+        F.min(us).alias("first_us"), F.max(us).alias("last_us"), (F.count(us) - F.countDistinct(us)).alias("n_duplicate_times"),
     )
-    return out if key else out.drop("_all")
+    out = whole.join(gaps, same, "left").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)))
+    columns = ["rows", *[f"{c}_rate" for c in (error, bad_clock, zero)], "first_us", "last_us", "median_dt_s", "n_gaps", "n_duplicate_times"]
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)], *columns)
 
 
 def status(precedence: list[tuple[str, Column]], otherwise: str = "OK") -> Column:

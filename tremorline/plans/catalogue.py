@@ -559,6 +559,21 @@ def theil_sen_slope(spark, sf):
     return stab(spark, sf).select("node", "start_us", "u").groupBy("node").applyInPandas(run, "node string, slope double").select("node", r6("slope"))
 
 
+@query("trend_interval", f"""WITH {STAB}, f AS (SELECT node, start_us / 86400000000.0::DOUBLE AS x, u FROM st), c AS (SELECT node, count(*)::DOUBLE AS n FROM f GROUP BY 1),
+s AS (SELECT a.node, list_sort(list((b.u - a.u) / (b.x - a.x))) AS l FROM f a JOIN f b ON a.node = b.node AND b.x > a.x GROUP BY 1),
+r AS (SELECT node, l, len(l) AS m, 1.959963984540054::DOUBLE * sqrt(n * (n - 1) * (2 * n + 5) / 18) AS spread FROM s JOIN c USING (node)),
+q AS (SELECT node, (l[(m - 1) // 2 + 1] + l[m // 2 + 1]) / 2 AS slope, l[greatest(0, CAST(round((m - spread) / 2) AS BIGINT)) + 1] AS low, l[least(m - 1, CAST(round((m + spread) / 2) AS BIGINT) - 1) + 1] AS high FROM r)
+SELECT node, round(slope, 6) AS slope_day, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS excludes_zero FROM q""")
+def trend_interval(spark, sf):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("start_us")
+        slope, low, high = models.sen_interval(pdf["start_us"].to_numpy(float) / 8.64e10, pdf["u"].to_numpy(float))
+        return pd.DataFrame([{"node": pdf["node"].iloc[0], "slope_day": slope, "low": low, "high": high, "excludes_zero": bool(low > 0 or high < 0)}]).dropna()
+
+    rows = stab(spark, sf).select("node", "start_us", "u").groupBy("node").applyInPandas(run, "node string, slope_day double, low double, high double, excludes_zero boolean")
+    return rows.select("node", r6("slope_day"), r6("low"), r6("high"), "excludes_zero")
+
+
 @query("mad_sigma", f"WITH {EV}, m AS (SELECT node, value, median(value) OVER (PARTITION BY node) AS med FROM ev) SELECT node, round(1.4826::DOUBLE * median(abs(value - med)) + 0.000001::DOUBLE, 6) AS sigma FROM m GROUP BY 1")
 def mad_sigma(spark, sf):
     rows = ev(spark, sf).withColumn("d", F.abs(F.col("value") - robust.median("value").over(W.partitionBy("node"))))

@@ -185,17 +185,6 @@ def stream_alignment(spark, sf):
     return signal.alignment(rows, moved, NODE, "us", "value")
 
 
-def trend_interval(spark, sf):
-    rows = _cat().stab(spark, sf).select("node", "start_us", "u")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_us")
-        slope, low, high = models.sen_interval(pdf["start_us"].to_numpy(float) / 8.64e10, pdf["u"].to_numpy(float))
-        return pd.DataFrame([{"node": pdf["node"].iloc[0], "slope_day": slope, "low": low, "high": high, "excludes_zero": bool(low > 0 or high < 0)}])
-
-    return rows.groupBy("node").applyInPandas(run, "node string, slope_day double, low double, high double, excludes_zero boolean")
-
-
 def calibration_six_position(spark, sf):
     """Bias and scale recovered from synthetic captures in many positions, one of each event."""
     rows = _cat().ev(spark, sf).select(F.col("value") - 50, F.col("raw") - 50.0, F.when(F.col("event_id") % 2 == 0, 30.0).otherwise(-30.0)).toDF(*"xyz").dropna()
@@ -235,6 +224,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         step_tracker, load_tracker, level_detector, fast_alarm_replay, fast_alarm_stream, injected_fault_eval, texture_model, autoencoder_scores, temp_attribution,
-        static_dynamic_split, dominant_frequency, prepared_rows, prepared_faults, prepared_baseline, prepared_features, cointegration_test, node_model, stream_alignment, trend_interval, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
+        static_dynamic_split, dominant_frequency, prepared_rows, prepared_faults, prepared_baseline, prepared_features, cointegration_test, node_model, stream_alignment, calibration_six_position, tilt_pipeline_segments, tilt_pipeline_sessions, alarm_references,
     )
 }
