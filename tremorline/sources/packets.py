@@ -128,7 +128,6 @@ def legacy_parse_error(df: DataFrame, value: str = "value", device: str = "devic
     """What an older audit calls an error: fewer than nine fields after sensor and date, or load-cell fields that are not
     label:raw and weight pairs with at most one counter. It knows no clock errors and no triplets."""
     df = df.withColumn("_t", F.split(F.regexp_replace(F.trim(value), '^"+|"+$', ""), ","))
-    df = _once(df, ["_t", "_ok"])
     token = lambda i: F.get(F.col("_t"), i)
     df = df.withColumn("_i", F.coalesce(token(F.lit(0)).rlike("^[A-Za-z]"), F.lit(False)).cast("int"))
     dated = F.coalesce(token(F.col("_i")).rlike(DATE), F.lit(False))
