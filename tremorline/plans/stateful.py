@@ -65,14 +65,13 @@ def fast_alarm_replay(spark, sf):
 
 def fast_alarm_stream(spark, sf):
     """The same alerts from a stream over the events, drained, published by batch and read back."""
-    import tempfile
     import uuid
 
+    from ..session import shared
     from ..streaming import alarms
 
     c = _cat()
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tremorline-')}"
-    path = f"{shared}/tremorline/alarms-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/tremorline/alarms-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     us = F.unix_micros(F.col("ts").cast("timestamp"))

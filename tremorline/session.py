@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,14 @@ def build(master: str | None = None, partitions: int | None = None, **extra: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(os.environ.get("TREMORLINE_LOG", "ERROR"))
     return spark
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by `spark.checkpoint.dir`; a fresh local one only where they are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tremorline-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
