@@ -9,7 +9,7 @@ distance of a centre are one component with it, so only those and the ring up to
 
 Work is on distinct fingerprints; copies cost nothing. Each shard returns a star of links per component it found, never
 all pairs, and the components over all shards are computed by `components`. Each level of the tree leaves about `CHILD` of its
-fingerprints on the larger side, copies at the border included; the depth is chosen so that shards hold `SHARD` at any size. A part
+fingerprints on the larger side, copies at the border included; the depth is chosen so that shards hold `SHARD` at most at any size and are as many as partitions. A part
 that no radius divides is one shard, whatever its size: fingerprints that all lie as near to each other as the links.
 
 Defined results: null, empty or blank text has fingerprint zero, linked like any other; very long texts are read whole. component_id is
@@ -237,7 +237,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pair_links(points: DataFrame, count: int) -> DataFrame:
     """Links (a, b) of the distinct prints: enough of them to span every component, none between unlinked prints."""
     spark = points.sparkSession
-    depth = int(np.ceil(np.log(max(1.0, count / SHARD)) / -np.log(CHILD)))
+    enough = max(np.log(max(1.0, count / SHARD)) / -np.log(CHILD), np.log2(K.partitions(spark)))
+    depth = int(max(0, min(np.ceil(enough), np.log2(max(1.0, count / (4 * BLOCK))))))
     share = min(1.0, SAMPLED * (1 << depth) / max(1, count))
     unit = F.pmod(F.xxhash64(F.col("print"), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
     sample = np.array([r[0] for r in points.where(unit < share).select("print").collect()], np.int64) if depth else np.zeros(0, np.int64)  # SAMPLED rows per shard

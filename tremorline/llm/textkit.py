@@ -31,16 +31,11 @@ _DEFAULT_BATCH = "10000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, and give freed arrays back to the system.
-
-    Workers live as long as their executor, so what one stage leaves on their heap would add up with the next stage's.
-    """
+    """Let Python workers import this package from where the driver did, with batches of bounded rows."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    for name, value in (("MALLOC_MMAP_THRESHOLD_", "2097152"), ("MALLOC_TRIM_THRESHOLD_", "4194304"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
-        env.setdefault(name, value)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == _DEFAULT_BATCH:
         spark.conf.set(rows, str(BATCH))
