@@ -427,13 +427,13 @@ def repeats(texts: DataFrame) -> DataFrame:
 
 
 def _word_hashes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, and hash, first and last byte of each of its words."""
+    """Row, and 32-bit hash, first and last byte of each of its words: words are compared only at the places that a repeat lines up."""
     buf, offsets, _ = K.flat(batch.column("text"))
     for i, j in K.chunks(offsets):
         part = offsets[i : j + 1] - offsets[i]
         low = _LOWER[buf[offsets[i] : offsets[j]]]
         ws, we = K.words(low, part)
-        h = K.Ranges(low)(ws, we)
+        h = (K.Ranges(low)(ws, we) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         edges = np.searchsorted(ws, part)
         for r in range(j - i):
             x, y = edges[r], edges[r + 1]
@@ -448,8 +448,8 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, h, a, _ in _word_hashes(batch):
             for w in want[r].as_py():
                 i, j = w["word"], w["word"] + w["words"]
-                out.append((w["cluster"], h[max(0, i - REACH) : i][::-1].view(np.int64), a[max(0, i - REACH) : i][::-1].astype(np.int32), h[j : j + REACH].view(np.int64)))
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                out.append((w["cluster"], h[max(0, i - REACH) : i][::-1], a[max(0, i - REACH) : i][::-1].astype(np.int32), h[j : j + REACH]))
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         columns = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["cluster", "before", "before_a", "after"])
 
@@ -461,9 +461,13 @@ def _same(h: np.ndarray, want: np.ndarray) -> int:
     return int(np.argmax(differ)) if differ.any() else n
 
 
+#: Stand for the words before an extension, which both sides share; no hash is so large.
+SHARED = [1 << 70, 1 << 71, 1 << 72, 1 << 73]
+
+
 def _shingle_set(h: np.ndarray) -> set:
     """Shingles that end in h, which follows SHINGLE - 1 words that both sides share."""
-    x = [-1, -2, -3, -4, *h.tolist()][-(len(h) + SHINGLE - 1) :]
+    x = [*SHARED, *h.tolist()][-(len(h) + SHINGLE - 1) :]
     return {tuple(x[i : i + SHINGLE]) for i in range(len(h))}
 
 
@@ -494,18 +498,18 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         rids, pieces = batch.column("rid").to_pylist(), batch.column("pieces")
         for r, h, a, b in _word_hashes(batch):
-            h, found, spans, at, begin = h.view(np.int64), sorted(pieces[r].as_py(), key=lambda p: p["word"]), [], 0, 0
+            found, spans, at, begin = sorted(pieces[r].as_py(), key=lambda p: p["word"]), [], 0, 0
             ends = [p["word"] + p["words"] for p in found]
             stop = ends[-1:]  # where the run of whole pieces that each piece is in ends
             for p, q in zip(found[-2::-1], found[:0:-1], strict=True):
                 stop.append(stop[-1] if p["word"] + p["words"] == q["word"] else p["word"] + p["words"])
             for p, after, last in zip(found, [*[q["word"] for q in found[1:]], len(h)], stop[::-1], strict=True):
                 i, j = p["word"], p["word"] + p["words"]
-                left, back = alike(h[:i][::-1][:REACH], np.array(p["before"] or [], np.int64), last - i)
+                left, back = alike(h[:i][::-1][:REACH], np.array(p["before"] or [], np.int32), last - i)
                 back -= max(0, left - (i - at))
                 left = min(left, i - at)
                 begin = begin if spans and spans[-1][1] == i - left else i - left
-                right = min(alike(h[j : j + REACH], np.array(p["after"] or [], np.int64), j - begin)[0], after - j)
+                right = min(alike(h[j : j + REACH], np.array(p["after"] or [], np.int32), j - begin)[0], after - j)
                 spans.append((i - left, j + right, p, back))
                 at = j + right
             head = [k for k, s in enumerate(spans) if not k or spans[k - 1][1] != s[0]]
@@ -526,7 +530,7 @@ def removed(texts: DataFrame) -> DataFrame:
         "tail": F.coalesce(F.lead("word").over(order) != F.col("word") + F.col("words"), F.lit(True)),
     })  # inside a run nothing is left to extend over
     firsts = late.where("head or tail").select("cluster", "first.rid", "first.word", "first.words").distinct().groupBy("rid").agg(F.collect_list(F.struct("cluster", "word", "words")).alias("want"))
-    around = texts.select("rid", "text").join(firsts, "rid").select("text", "want").mapInArrow(_around, "cluster long, before array<long>, before_a array<int>, after array<long>").dropDuplicates(["cluster"])
+    around = texts.select("rid", "text").join(firsts, "rid").select("text", "want").mapInArrow(_around, "cluster long, before array<int>, before_a array<int>, after array<int>").dropDuplicates(["cluster"])
     piece = F.struct("word", "words", "cluster", F.col("first.rid").alias("first_rid"), F.col("first.a").alias("first_a"), *[F.when(F.col(k), F.col(c)).alias(c) for k, c in (("head", "before"), ("head", "before_a"), ("tail", "after"))])
     pieces = late.join(around, "cluster", "left").groupBy("rid").agg(F.collect_list(piece).alias("pieces"))
     out = texts.select("rid", "text").join(pieces, "rid").mapInArrow(_extend, "rid long, a int, b int, words int, cluster long, first_rid long, first_a int, run_words long, run long")
